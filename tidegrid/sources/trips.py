@@ -22,7 +22,7 @@ def read_trips(spark: SparkSession, directory: str, taxi_type: str = "yellow") -
     """Pickup time and zone of all monthly files; only these two columns are read."""
     column = pickup_column(taxi_type)
     try:
-        files = spark.read.option("pathGlobFilter", f"{taxi_type}_tripdata_*.parquet").parquet(directory)
+        files = spark.read.parquet(f"{directory}/{taxi_type}_tripdata_*.parquet")
     except AnalysisException as error:
         raise FileNotFoundError(f"no {taxi_type} trip files in {directory}") from error
     return files.select(
@@ -37,9 +37,8 @@ def missing_months(
     wanted = spark.createDataFrame([(m,) for m in months], "month string")
     names = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"{taxi_type}_tripdata_*.parquet")
-        .load(directory)
-        .select(F.regexp_extract("path", r"_(\d{4}-\d{2})\.parquet", 1).alias("month"))
+        .load(f"{directory}/{taxi_type}_tripdata_*.parquet")
+        .select(F.regexp_extract("path", r"_tripdata_(\d{4}-\d{2})\.parquet", 1).alias("month"))
     )
     return wanted.join(names, "month", "left_anti")
 
