@@ -288,9 +288,9 @@ ACF = """st as (select PULocationID, avg(pickup_count) as m, count(*) as n from
     dv as (select d.PULocationID, date_diff('hour', timestamp '2024-01-01', hour) as i, pickup_count - m as x, n
         from dense d join st on st.PULocationID = d.PULocationID),
     c0 as (select PULocationID, sum(x * x) as c0 from dv group by 1),
-    ac as (select a.PULocationID, k.lag, any_value(a.n) as n, sum(a.x * b.x) as c
-        from dv a, (select unnest(range(0, {lags} + 1)) as lag) k
-        join dv b on b.PULocationID = a.PULocationID and b.i = a.i - k.lag group by 1, 2),
+    ac as (select a.PULocationID, a.lag, any_value(a.n) as n, sum(a.x * b.x) as c
+        from (select PULocationID, n, x, i, unnest(range(0, {lags} + 1)) as lag from dv) a
+        join dv b on b.PULocationID = a.PULocationID and b.i = a.i - a.lag group by 1, 2),
     acf as (select ac.PULocationID, lag, c / c0 as acf, 1.96e0 / sqrt(n) as bound
         from ac join c0 on c0.PULocationID = ac.PULocationID)"""
 

@@ -16,18 +16,23 @@ from pyspark.sql import functions as F
 
 def moment_table(
     df: DataFrame,
-    features: Sequence[str],
-    target: str,
+    features: Sequence[str | Column],
+    target: str | Column,
     by: Sequence[str] = (),
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Per group: ``n`` and ``m``, the upper triangle of the cross products of
-    (features, target) with their plain sums in front. Rows with a NULL are left out."""
-    names = [*features, target]
-    cols = [F.col(c).cast("double") for c in names]
-    known = df.filter(F.greatest(*[c.isNull().cast("int") for c in cols], F.lit(0)) == 0)
-    sums = [F.sum(c) for c in cols]
-    products = [F.sum(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
+    (features, target) with their plain sums in front. Rows with a NULL are left out.
+
+    The terms travel in one array column: with a column each, the optimizer would
+    derive constraints between all of them.
+    """
+    terms = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in (*features, target)]
+    size = len(terms)
+    z = F.col("__z")
+    known = df.withColumn("__z", F.array(*terms)).filter(F.size(F.array_compact("__z")) == size)
+    sums = [F.sum(z[i]) for i in range(size)]
+    products = [F.sum(z[i] * z[j]) for i in range(size) for j in range(i, size)]
     return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*sums, *products).alias("m"), *extra)
 
 

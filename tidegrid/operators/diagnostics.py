@@ -134,46 +134,38 @@ def adf(
     if max_lag is None:
         longest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
         max_lag = default_max_lag(longest)
-    y = F.col(value).cast("double")
-    steps = over_series(
-        df.select(key, config.time, y.alias("__y")), key, config.time,
-        lambda w: {"__before": F.lag("__y").over(w)} | {
-            f"__y{i}": F.lag("__y", i).over(w) for i in range(2, max_lag + 2)
-        },
-        before=max_lag + 1, block_hours=_block(config, dense),
-    )
-    level = lambda i: F.col("__y") if i == 0 else F.col("__before") if i == 1 else F.col(f"__y{i}")
-    rows = steps.select(
-        key,
-        (level(0) - level(1)).alias("dy"),
-        level(1).alias("x0"),
-        *[(level(i) - level(i + 1)).alias(f"x{i}") for i in range(1, max_lag + 1)],
-    ).filter(F.col("x0").isNotNull())
-    names = [f"x{i}" for i in range(max_lag + 1)]
-
-    full = rows.filter(F.col(names[-1]).isNotNull())
-    common = moment_table(full, names, "dy", [key])
-    order = _solve_rows(common, key, df, names, _choose_order, "order int")
+    depth = max_lag + 2
+    levels = over_series(
+        df.select(key, config.time, F.col(value).cast("double").alias("__y")), key, config.time,
+        lambda w: {"levels": F.array("__y", *[F.lag("__y", i).over(w) for i in range(1, depth)])},
+        before=depth, block_hours=_block(config, dense),
+    ).select(key, "levels")
+    change = lambda i: F.col("levels")[i] - F.col("levels")[i + 1]
+    size = max_lag + 1
+
+    # The deepest level is known exactly where all are: missing values are at the start.
+    full = levels.filter(F.col("levels")[depth - 1].isNotNull())
+    terms = [F.col("levels")[1], *[change(i) for i in range(1, size)]]
+    order = _solve_rows(moment_table(full, terms, change(0), [key]), key, df, size, _choose_order, "order int")
 
     # Only lags up to the chosen order enter; the others are blanked out.
-    kept = rows.join(order, key).withColumns(
-        {f"x{i}": F.when(F.col("order") >= i, F.col(f"x{i}")).otherwise(F.lit(0.0)) for i in range(1, max_lag + 1)}
-    )
-    complete = kept
-    for i in range(1, max_lag + 1):
-        complete = complete.filter(F.col(f"x{i}").isNotNull())
-    final = moment_table(complete, names, "dy", [key], extra=[F.max("order").alias("order")])
-    tested = _solve_rows(final, key, df, names, _statistic, "statistic double, p_value double, lags int, n_obs bigint, critical_5pct double")
+    kept = levels.join(order, key).filter(F.get("levels", F.col("order") + 1).isNotNull())
+    used = [F.col("levels")[1]] + [
+        F.when(F.col("order") >= i, change(i)).otherwise(F.lit(0.0)) for i in range(1, size)
+    ]
+    final = moment_table(kept, used, change(0), [key], extra=[F.max("order").alias("order")])
+    fields = "statistic double, p_value double, lags int, n_obs bigint, critical_5pct double"
+    tested = _solve_rows(final, key, df, size, _statistic, fields)
     return tested.withColumn("is_stationary", F.col("p_value") < 0.05)
 
 
-def _solve_rows(table: DataFrame, key: str, df: DataFrame, names: Sequence[str], solve, fields: str) -> DataFrame:
+def _solve_rows(table: DataFrame, key: str, df: DataFrame, size: int, solve, fields: str) -> DataFrame:
     key_type = df.schema[key].dataType.simpleString()
     columns = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            rows = [(row[key], *solve(row, len(names))) for row in pdf.to_dict("records")]
+            rows = [(row[key], *solve(row, size)) for row in pdf.to_dict("records")]
             yield pd.DataFrame(rows, columns=[key, *columns])
 
     return table.mapInPandas(run, f"{key} {key_type}, {fields}")
