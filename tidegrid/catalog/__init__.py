@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tidegrid.catalog.base import ORACLES, QUERIES
 
-_MODULES = ("panel", "features", "operations", "quality", "evaluation")
+_MODULES = ("panel", "features", "operations", "quality", "evaluation", "models", "live")
 
 
 def _load() -> None:
