@@ -216,7 +216,8 @@ def _spark_out(name: str, kind: str, digits: int) -> Column:
     if kind == "i":
         return c.cast("bigint").alias(name)
     if kind == "d":
-        return (F.round(c.cast("double"), digits) + F.lit(0.0)).alias(name)
+        # Plain arithmetic keeps the rounding in generated code (``round`` goes through decimals).
+        return (F.rint(c.cast("double") * F.lit(10.0**digits)) / F.lit(10.0**digits) + F.lit(0.0)).alias(name)
     if kind == "t":
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(name)
     if kind == "D":
@@ -229,7 +230,7 @@ def _sql_out(name: str, kind: str, digits: int) -> str:
     if kind == "i":
         return f"cast({q} as bigint) as {q}"
     if kind == "d":
-        return f"round(cast({q} as double), {digits}) + 0e0 as {q}"
+        return f"round_even(cast({q} as double) * 1e{digits}, 0) / 1e{digits} + 0e0 as {q}"
     if kind == "t":
         return f"strftime({q}, '%Y-%m-%d %H:%M:%S') as {q}"
     if kind == "D":

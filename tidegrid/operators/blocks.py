@@ -28,7 +28,7 @@ def over_series(
     df: DataFrame,
     key: str | Sequence[str],
     time: str,
-    build: Callable[[WindowSpec], dict[str, Column]],
+    build: Callable[[WindowSpec], dict[str, Column] | list[dict[str, Column]]],
     *,
     before: int = 0,
     after: int = 0,
@@ -36,14 +36,17 @@ def over_series(
 ) -> DataFrame:
     """Add the window columns that ``build(window)`` returns.
 
+    ``build`` may return several stages, each using the columns of the one
+    before; all stages share one shuffle and one sort. Columns whose name starts
+    with ``__`` are dropped at the end.
+
     With ``block_hours`` the input must be dense (one row per key and hour) and
     ``before``/``after`` must cover the reach of every frame. Without it the
     window is one partition per key, which is right for any spacing of rows.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if block_hours is None:
-        window = Window.partitionBy(*keys).orderBy(time)
-        return df.withColumns(build(window))
+        return _stages(df, build(Window.partitionBy(*keys).orderBy(time)), df.columns)
 
     size = max(block_hours, before, after)
     index = hour_index(time)
@@ -57,9 +60,21 @@ def over_series(
     blocked = df.withColumn(_HOME, home).withColumn(
         _BLOCK, F.explode(F.array_compact(F.array(*homes)))
     )
+    # Panel rows compress to almost nothing, so merging shuffle partitions by size
+    # would leave the windows to a few tasks; a stated number is kept as it is.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = blocked.repartition(tasks, *keys, _BLOCK)
     window = Window.partitionBy(*keys, _BLOCK).orderBy(time)
     return (
-        blocked.withColumns(build(window))
+        _stages(placed, build(window), blocked.columns)
         .filter(F.col(_BLOCK) == F.col(_HOME))
         .drop(_BLOCK, _HOME)
     )
+
+
+def _stages(df: DataFrame, stages, kept: Sequence[str]) -> DataFrame:
+    if isinstance(stages, dict):
+        return df.withColumns(stages)
+    for stage in stages:
+        df = df.withColumns(stage)
+    return df.drop(*[c for c in df.columns if c.startswith("__") and c not in kept])

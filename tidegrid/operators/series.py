@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.config import DEFAULT, DemandConfig
 from tidegrid.operators.blocks import hour_index, over_series
@@ -18,19 +19,86 @@ def lag_columns(target: str, lags: Sequence[int], window: WindowSpec) -> dict[st
     return {f"lag_{n}h": F.lag(value, n).over(window) for n in lags}
 
 
-def rolling_columns(
-    target: str, windows: Sequence[int], stats: Sequence[str], window: WindowSpec, min_periods: int = 1
-) -> dict[str, Column]:
-    """Statistics of the ``n`` rows before the current one."""
+def _is_whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def _doubling_stages(target: str, longest: int, window: WindowSpec) -> list[dict[str, Column]]:
+    """``__min_k``/``__max_k``: extremes of the last k rows for k = 1, 2, 4, … ≤ ``longest``."""
+    value = F.col(target).cast("double")
+    stages = [{"__min_1": value, "__max_1": value}]
+    k = 1
+    while 2 * k <= longest:
+        earlier = lambda name: F.lag(name, k).over(window)
+        stages.append(
+            {
+                f"__min_{2 * k}": F.least(F.col(f"__min_{k}"), earlier(f"__min_{k}")),
+                f"__max_{2 * k}": F.greatest(F.col(f"__max_{k}"), earlier(f"__max_{k}")),
+            }
+        )
+        k *= 2
+    return stages
+
+
+def rolling_stages(
+    target: str,
+    windows: Sequence[int],
+    stats: Sequence[str],
+    window: WindowSpec,
+    min_periods: int = 1,
+    whole: bool = False,
+) -> list[dict[str, Column]]:
+    """Statistics of the ``n`` rows before the current one, at a cost per row that
+    does not grow with ``n``.
+
+    A sliding frame is summed afresh for every row. Instead, minimum and maximum
+    join two overlapping spans of a power of two, and the mean and deviation of a
+    whole-number target are differences of running totals, which are exact. The
+    deviation of a real-valued target keeps its frame: differences would cancel.
+    """
     value = F.col(target).cast("double")
+    running = window.rowsBetween(Window.unboundedPreceding, 0)
+    stages: list[dict[str, Column]] = []
+    if {"min", "max"} & set(stats):
+        stages = _doubling_stages(target, max(windows), window)
+    moments = {"__count": F.count(value).over(running)} if whole or min_periods > 1 else {}
+    if whole:
+        moments["__sum"] = F.sum(value).over(running)
+        if "std" in stats:
+            moments["__squares"] = F.sum(value * value).over(running)
+    stages.append(moments)
+
+    # Each shifted column once: an expression used twice would become two window functions.
+    shifted: dict[str, Column] = {}
+    for m in moments:
+        shifted[f"{m}_before"] = F.lag(m, 1).over(window)
+        shifted |= {f"{m}_before_{n}": F.lag(m, n + 1).over(window) for n in windows}
     columns: dict[str, Column] = {}
     for n in windows:
-        frame = window.rowsBetween(-n, -1)
-        enough = F.count(value).over(frame) >= min_periods
+        inside = lambda m: F.col(f"{m}_before") - F.coalesce(F.col(f"{m}_before_{n}"), F.lit(0))
+        size = inside("__count") if moments else None
+        span = 1 << (n.bit_length() - 1)
         for stat in stats:
-            result = _STATS[stat](value).over(frame)
-            columns[f"rolling_{stat}_{n}h"] = result if min_periods <= 1 else F.when(enough, result)
-    return columns
+            if stat in ("min", "max"):
+                name, pick = f"__{stat}_{span}", F.least if stat == "min" else F.greatest
+                near, far = f"{name}_near_{n}", f"{name}_far_{n}"
+                shifted[near] = F.lag(name, 1).over(window)
+                shifted[far] = F.lag(name, n - span + 1).over(window)
+                result = pick(near, far)
+            elif whole and stat == "mean":
+                result = inside("__sum") / F.nullif(size, F.lit(0))
+            elif whole and stat == "std":
+                total = inside("__sum")
+                spread = F.greatest(size * inside("__squares") - total * total, F.lit(0.0))
+                result = F.when(size > 1, F.sqrt(spread / F.nullif(size * (size - 1), F.lit(0))))
+            else:
+                name = f"__{stat}_frame_{n}"
+                shifted[name] = _STATS[stat](value).over(window.rowsBetween(-n, -1))
+                result = F.col(name)
+            if min_periods > 1:
+                result = F.when(size >= min_periods, result)
+            columns[f"rolling_{stat}_{n}h"] = result
+    return [*stages, shifted, columns]
 
 
 def add_lag_features(
@@ -55,7 +123,7 @@ def add_rolling_features(
     """Shifted rolling statistics of ``target`` as ``rolling_<stat>_<n>h``."""
     return over_series(
         df, config.key, config.time,
-        lambda w: rolling_columns(target, windows, stats, w, min_periods),
+        lambda w: rolling_stages(target, windows, stats, w, min_periods, _is_whole(df, target)),
         before=max(windows), block_hours=config.block_hours if dense else None,
     )
 
@@ -66,11 +134,13 @@ def add_history_features(
     config: DemandConfig = DEFAULT,
     dense: bool = True,
 ) -> DataFrame:
-    """Lags and rolling statistics together: one shuffle, one sort, one window node."""
+    """Lags and rolling statistics together: one shuffle and one sort."""
     return over_series(
         df, config.key, config.time,
-        lambda w: lag_columns(target, config.lags, w)
-        | rolling_columns(target, config.windows, config.stats, w),
+        lambda w: [
+            *rolling_stages(target, config.windows, config.stats, w, whole=_is_whole(df, target)),
+            lag_columns(target, config.lags, w),
+        ],
         before=max(*config.lags, *config.windows),
         block_hours=config.block_hours if dense else None,
     )
@@ -97,22 +167,38 @@ def moving_average_crossover(
 ) -> DataFrame:
     """Short and long means and ``signal``: 1 when short rises above long, −1 when it falls below."""
 
-    def means(w: WindowSpec) -> dict[str, Column]:
-        return {
-            "ma_short": F.avg(value).over(w.rowsBetween(-(short - 1), 0)),
-            "ma_long": F.avg(value).over(w.rowsBetween(-(long - 1), 0)),
-            "__short_before": F.avg(value).over(w.rowsBetween(-short, -1)),
-            "__long_before": F.avg(value).over(w.rowsBetween(-long, -1)),
-        }
+    number = F.col(value).cast("double")
+    whole = _is_whole(df, value)
+
+    def means(w: WindowSpec) -> list[dict[str, Column]]:
+        running = w.rowsBetween(Window.unboundedPreceding, 0)
+        totals = {"__count": F.count(number).over(running), "__sum": F.sum(number).over(running)}
+
+        def mean(n: int, back: int) -> Column:
+            """Mean of the ``n`` rows that end ``back`` rows before this one."""
+            if not whole:
+                return F.avg(number).over(w.rowsBetween(-(n - 1) - back, -back))
+            part = lambda c: (F.lag(c, back).over(w) if back else F.col(c)) - F.coalesce(
+                F.lag(c, n + back).over(w), F.lit(0)
+            )
+            return part("__sum") / F.nullif(part("__count"), F.lit(0))
+
+        return [
+            totals,
+            {
+                "ma_short": mean(short, 0), "ma_long": mean(long, 0),
+                "before_short": mean(short, 1), "before_long": mean(long, 1),
+            },
+        ]
 
     wide = over_series(
-        df, config.key, config.time, means, before=long,
+        df, config.key, config.time, means, before=long + 1,
         block_hours=config.block_hours if dense else None,
     )
     now = F.col("ma_short") - F.col("ma_long")
-    was = F.col("__short_before") - F.col("__long_before")
+    was = F.col("before_short") - F.col("before_long")
     signal = F.when((now > 0) & (was <= 0), 1).when((now < 0) & (was >= 0), -1).otherwise(0)
-    return wide.withColumn("signal", signal).drop("__short_before", "__long_before")
+    return wide.withColumn("signal", signal).drop("before_short", "before_long")
 
 
 def tail(df: DataFrame, n: int, by: Sequence[str], time: str, rank: str | None = None) -> DataFrame:
