@@ -118,8 +118,9 @@ def spread_by(df: DataFrame, value: str, by: Sequence[str], approx: bool = False
 
 
 def worst_series(df: DataFrame, key: str, n: int = 10) -> DataFrame:
-    """The ``n`` series with the largest mean absolute error."""
-    table = df.groupBy(key).agg(F.avg(F.abs("residual")).alias("mean_abs_error"))
+    """The ``n`` series with the largest mean absolute error. The score has nine
+    digits, so that summing in another order cannot decide between equal series."""
+    table = df.groupBy(key).agg(F.round(F.avg(F.abs("residual")), 9).alias("mean_abs_error"))
     return top(table, "mean_abs_error", n, [key])
 
 
