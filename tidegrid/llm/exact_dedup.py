@@ -105,5 +105,5 @@ def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     keyed = docs.withColumn("_sha_of", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
     stay = keyed.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha_of") == F.col("_sha")), "left_semi")
     # Rows that repeat a doc_id with an equal text: one of them.
-    repeated = stay.groupBy("doc_id", "_sha_of").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
-    return (stay if repeated else stay.dropDuplicates(["doc_id", "_sha_of"])).drop("_sha_of")
+    unique = stay.groupBy("doc_id", "_sha_of").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
+    return (stay if unique else stay.dropDuplicates(["doc_id", "_sha_of"])).drop("_sha_of")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm.common import read_table
 from tidegrid.llm.exact_dedup import duplicate_groups
+from tidegrid.llm.near_dedup import near_groups
 from tidegrid.llm.packing import pack_documents
 from tidegrid.llm.sharding import shard_documents
 from tidegrid.llm.topk import search_every_nth
@@ -50,6 +51,32 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
 from texts"""
 
 
+@_register
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(read_table(spark, sf_dir, "documents"), width=4, percent=80)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLES["op7_minhash_dedup"] = r"""
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'),
+        lambda w: w <> '') as w from documents),
+sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) end as s from words),
+shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+shared as (
+    select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as c
+    from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as materialized (
+    select x, y from shared where 100 * c >= 80 * (nx + ny - c)
+    union all select y, x from shared where 100 * c >= 80 * (nx + ny - c)),
+reach as (select doc_id, doc_id as other from sets union select r.doc_id, l.y from reach r join links l on l.x = r.other)
+select s.doc_id, cast(len(s) as bigint) as n_shingles, r.c as component_id, s.doc_id = r.c as kept
+from sets s join (select doc_id, min(other) as c from reach group by 1) r using (doc_id)"""
+
+
 @_register
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_every_nth(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
