@@ -7,12 +7,16 @@ intersection of their sets has at least ``percent`` hundredths of the union.
   (i, j) has the key (A_i, B_j): m*m tables out of 2*m*a min-hashes.
 * Documents with equal sets are one node from here on. Half keys that no other node
   has are dropped before tables are formed.
-* Round 1 compares each member of a bucket with the bucket's smallest node, and finds
-  the components of the confirmed links.
+* Round 1 compares each member of a bucket with the bucket's centre, the member whose
+  half keys are the most common ones, and finds the components of the confirmed links.
 * Round 2 takes the buckets that still hold several components, and compares their
   members across components. A pair inside one component needs no comparison: it
   cannot change which documents are connected. So every pair that shares a key is
   either connected already or compared, and no bucket is cut off.
+* For round 2 the shingles of a node are put in one common order, the rarest first. Two
+  sets can only reach the limit if they share a shingle early in this order, and the
+  shingles before the first shared one are lost to the intersection. So much changed
+  copies of one text, which are close to none of the others, are not paired with them.
 * A pair is compared by two bits of each min-hash first (a pair at the limit fails this
   by chance less than once in 10^7), then confirmed on the full sets of 64-bit shingle
   hashes.
@@ -33,11 +37,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.llm.common import small_batches, stash, texts_of, words_of
+from tidegrid.llm.sharding import numbered as in_order
 
 HALF_KEYS = 14
 HALF_KEY_HASHES = 3
@@ -193,6 +198,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.filter(F.col("shared") * 100 >= (F.size("s1") + F.size("s2") - F.col("shared")) * percent).select("one", "two")
 
 
+def _early_shingles(sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """key (a shingle), node, root, n_shingles, at (its place in the common order), short: the early shingles.
+
+    A partner of at least the own size shares all but ``short`` - 1 of the n shingles at
+    the limit, a smaller one all but n - n * percent / 100; later shingles can't be the first shared.
+    """
+    listed = sets.join(chosen, "node").select("node", "root", F.size("shingles").cast("long").alias("n_shingles"), F.explode("shingles").alias("key"))
+    often = listed.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    listed = listed.join(often, "key", "left").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("often", F.lit(1)), "key")))
+    n = F.col("n_shingles")
+    least = lambda top, down: F.floor((n * top + down - 1) / F.lit(down)).cast("long")
+    listed = listed.withColumn("short", n - least(2 * percent, 100 + percent) + 1).filter((F.col("at") <= n - least(percent, 100) + 1) & (F.col("often") > 1))
+    return listed.select("key", "node", "root", "n_shingles", "at", "short")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, root, ...) of the buckets that hold several roots."""
+    several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return members.join(several.select("key"), "key", "left_semi")
+
+
 def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, m: int = HALF_KEYS, a: int = HALF_KEY_HASHES) -> DataFrame:
     """doc_id, n_shingles, set_id (rows with equal sets), component_id, kept for every document."""
     return groups_of_numbered(numbered(docs.select("doc_id", F.col("text").cast("string").alias("text"))), width, percent, m, a).drop("row")
@@ -207,33 +233,40 @@ def groups_of_numbered(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     nodes = known.join(sets_of.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n_shingles", "halves", "signs")
 
     halves = stash(nodes.select("node", F.posexplode("halves").alias("side", "half")), "halves")
-    shared = halves.groupBy("side", "half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("side", "half")
-    held = halves.join(shared, ["side", "half"]).groupBy("node").agg(F.collect_list(F.struct("side", "half")).alias("h"))  # 2*m at most
+    shared = halves.groupBy("side", "half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = halves.join(shared, ["side", "half"]).groupBy("node").agg(F.collect_list(F.struct("side", "half")).alias("h"), F.sum("n").alias("common"))  # 2*m at most
+    held = stash(held.filter(F.exists("h", lambda x: x["side"] < m) & F.exists("h", lambda x: x["side"] >= m)), "held")
+    # From here on a node goes by its place: the smallest place has the most common half keys.
+    places = stash(in_order(held.select("node", (-F.col("common")).alias("rare")), ["rare", "node"], "place").select("node", "place"), "places")
     first, second = F.filter("h", lambda x: x["side"] < m), F.filter("h", lambda x: x["side"] >= m)
     keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x["side"], y["side"], x["half"], y["half"]))))
-    members = held.select("node", F.explode(keys).alias("key"))
-    members = stash(members, "members")
-    buckets = members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre < last").select("key", "centre")
-
-    sketch = stash(nodes.select("node", "n_shingles", "signs"), "signs")
-    stars = members.join(buckets, "key").filter("node <> centre").select(F.col("centre").alias("one"), F.col("node").alias("two")).distinct()
-    stars = stars.join(sketch.select(F.col("node").alias("one"), F.struct("n_shingles", "signs").alias("x")), "one")
-    stars = stars.join(sketch.select(F.col("node").alias("two"), F.struct("n_shingles", "signs").alias("y")), "two")
+    members = stash(held.join(places, "node").select("place", F.explode(keys).alias("key")), "members")
+    buckets = members.groupBy("key").agg(F.min("place").alias("centre"), F.max("place").alias("last")).filter("centre < last").select("key", "centre")
+    members = stash(members.join(buckets, "key"), "buckets")
+
+    inside = members.select("place").distinct().join(places, "place")
+    sketch = stash(nodes.join(inside, "node").select("place", "n_shingles", "signs"), "signs")
+    sets = stash(shingle_sets(docs.select(F.col("row").alias("node"), "text").join(inside, "node").select(F.col("place").alias("node"), "text"), width), "sets")
+    stars = members.filter("place <> centre").select(F.col("centre").alias("one"), F.col("place").alias("two")).distinct()
+    stars = stars.join(sketch.select(F.col("place").alias("one"), F.struct("n_shingles", "signs").alias("x")), "one")
+    stars = stars.join(sketch.select(F.col("place").alias("two"), F.struct("n_shingles", "signs").alias("y")), "two")
     stars = stash(stars.filter(_alike("x", "y", percent, signs)).select("one", "two"), "stars")
-    texts = docs.select(F.col("row").alias("node"), "text")
-    sets = stash(shingle_sets(texts.join(stars.select(F.explode(F.array("one", "two")).alias("node")).distinct(), "node", "left_semi"), width), "sets")
     roots = stash(components(_confirmed(stars, sets, percent)), "roots")
 
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    across = stash(labelled.join(mixed, "key", "left_semi").join(sketch, "node"), "mixed")
-    x, y = across.alias("x"), across.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _alike("x", "y", percent, signs))
-    met = met.select(F.col("x.node").alias("one"), F.col("y.node").alias("two")).distinct().join(stars, ["one", "two"], "left_anti")
-    met = stash(met, "met")
+    labelled = members.join(roots.select(F.col("node").alias("place"), "root"), "place", "left").select("key", "place", F.coalesce("root", "place").alias("root"))
+    across = stash(_mixed(labelled), "mixed")
+    early = stash(_early_shingles(sets, across.select(F.col("place").alias("node"), "root").distinct(), percent), "early")
+    full = sketch.select(F.col("place").alias("node"), "signs")
+    early = _mixed(early).join(full, "node")
+    x, y = early.filter("at <= short").alias("x"), early.alias("y")
+    order = (F.col("x.n_shingles") < F.col("y.n_shingles")) | ((F.col("x.n_shingles") == F.col("y.n_shingles")) & (F.col("x.node") < F.col("y.node")))
+    most = F.least(F.col("x.n_shingles") - F.col("x.at"), F.col("y.n_shingles") - F.col("y.at")) + 1
+    enough = most * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & order & enough & _alike("x", "y", percent, signs))
+    met = met.select(F.least("x.node", "y.node").alias("one"), F.greatest("x.node", "y.node").alias("two")).distinct()
+    met = stash(met.join(stars, ["one", "two"], "left_anti"), "met")
     if not met.isEmpty():
-        more = shingle_sets(texts.join(met.select(F.explode(F.array("one", "two")).alias("node")).distinct(), "node", "left_semi"), width)
-        links = _confirmed(met, stash(more, "sets"), percent)
+        links = _confirmed(met, sets, percent)
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
         lifted = links.join(of("one"), "one", "left").join(of("two"), "two", "left")
         joined = components(lifted.select(F.coalesce("root_one", "one").alias("one"), F.coalesce("root_two", "two").alias("two")))
@@ -241,7 +274,8 @@ def groups_of_numbered(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
         every = roots.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
         roots = stash(every.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "roots")
 
-    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node", -F.col("row") - 1))
+    roots = places.join(roots.select(F.col("node").alias("place"), "root"), "place").select("node", "root")
+    placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", -F.coalesce("node", "row") - 1))
     placed = stash(placed, "placed")
     low = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(low, "root").select("row", "doc_id", "n_shingles", F.col("node").alias("set_id"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
