@@ -286,8 +286,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
     Texts without words are in no group; all of them stay.
     """
-    rows = numbered(docs.withColumn("text", F.col("text").cast("string")))
+    given = {c: f"given_{i}" if c == "row" else c for i, c in enumerate(docs.columns)}
+    rows = numbered(docs.withColumnsRenamed(given).withColumn("text", F.col("text").cast("string")))
     groups = groups_of_numbered(rows, **options).filter("kept")
     alone = F.when(F.col("n_shingles") == 0, F.col("row"))
     kept = groups.groupBy("doc_id", "component_id", alone).agg(F.min("row").alias("row"))
-    return rows.join(kept.select("row"), "row", "left_semi").select(*docs.columns)
+    return rows.join(kept.select("row"), "row", "left_semi").select(*(F.col(f"`{now}`").alias(c) for c, now in given.items()))

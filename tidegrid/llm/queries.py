@@ -8,22 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm.common import read_table
 from tidegrid.llm.exact_dedup import duplicate_groups
+from tidegrid.llm.language import identify
+from tidegrid.llm.language_model import score_documents as score_language
 from tidegrid.llm.near_dedup import near_groups
 from tidegrid.llm.packing import pack_documents
+from tidegrid.llm.quality import score_documents
+from tidegrid.llm.secrets import scan_documents
 from tidegrid.llm.sharding import shard_documents
+from tidegrid.llm.tokenizer_files import tokenizer_file
 from tidegrid.llm.topk import search_every_nth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tokenizer_file(name: str) -> str:
-    """Place of a public vocabulary file; operators take any path."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def _register(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
     return build
@@ -39,6 +37,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
 
 
+@_register
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(read_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(read_table(spark, sf_dir, "documents"))
@@ -51,6 +54,11 @@ select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (part
 from texts"""
 
 
+@_register
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(read_table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -60,7 +68,8 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_minhash_dedup"] = r"""
 with recursive words as (
     select doc_id, list_filter(regexp_split_to_array(
-        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'),
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'),
         lambda w: w <> '') as w from documents),
 sets as (
     select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
@@ -77,6 +86,16 @@ select s.doc_id, cast(len(s) as bigint) as n_shingles, r.c as component_id, s.do
 from sets s join (select doc_id, min(other) as c from reach group by 1) r using (doc_id)"""
 
 
+@_register
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@_register
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 @_register
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_every_nth(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
