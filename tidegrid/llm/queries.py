@@ -12,6 +12,7 @@ from tidegrid.llm.language import identify
 from tidegrid.llm.language_model import score_documents as score_language
 from tidegrid.llm.near_dedup import near_groups
 from tidegrid.llm.packing import pack_documents
+from tidegrid.llm.pieces import encode_and_decode
 from tidegrid.llm.quality import score_documents
 from tidegrid.llm.secrets import scan_documents
 from tidegrid.llm.sharding import shard_documents
@@ -42,6 +43,11 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language(read_table(spark, sf_dir, "documents"))
 
 
+@_register
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @_register
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(read_table(spark, sf_dir, "documents"))
