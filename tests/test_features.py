@@ -93,7 +93,14 @@ def test_trips_to_panel(spark):
         "pickup_dt string, PULocationID int",
     )
     lookup = spark.createDataFrame([(5, "Queens", None, "Boro")], "LocationID int, Borough string, Zone string, service_zone string")
-    panel = attach_zones(dense_grid(hourly_counts(clean_trips(trips))), lookup)
+    panel = attach_zones(dense_grid(hourly_counts(clean_trips(trips, DemandConfig(min_zone=1, max_zone=263)))), lookup)
     got = ordered(panel)
     assert len(got) == 8 and got["pickup_count"].sum() == 3
     assert set(got[got.PULocationID == 7]["Borough"]) == {"Unknown"} and set(got["zone_name"]) == {"Unknown"}
+
+
+def test_zones_are_valid_when_the_lookup_has_them(spark):
+    trips = spark.sql("select timestamp'2024-07-01 00:10:00' as pickup_dt, cast(id as int) as PULocationID from range(0, 40001, 8000)")
+    zones = spark.sql("select cast(id as int) as LocationID from range(0, 40001, 16000)")
+    assert clean_trips(trips).count() == 6
+    assert sorted(r.PULocationID for r in clean_trips(trips, zones=zones).collect()) == [0, 16000, 32000]

@@ -25,6 +25,10 @@ def test_trip_files_and_months(spark, tmp_path):
     assert [r["month"] for r in missing_months(spark, str(tmp_path), ["2024-07", "2024-08"]).collect()] == ["2024-08"]
 
 
+def test_first_ingest_misses_every_month(spark, tmp_path):
+    assert [r["month"] for r in missing_months(spark, str(tmp_path), ["2024-07", "2024-08"]).collect()] == ["2024-07", "2024-08"]
+
+
 def test_lookup_outlines_and_payload(spark, tmp_path):
     (tmp_path / "zones.csv").write_text('LocationID,Borough,Zone,service_zone\n264,Unknown,N/A,N/A\n1,EWR,"Newark Airport",EWR\n')
     rows = {r["LocationID"]: r for r in read_zone_lookup(spark, str(tmp_path / "zones.csv")).collect()}

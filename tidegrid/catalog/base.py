@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # The events span January 2024; every user is one place.
-CONFIG = DemandConfig(months=("2024-01",), max_zone=263)
+CONFIG = DemandConfig(months=("2024-01",))
 
 
 class Tables:

@@ -345,15 +345,15 @@ DECOMPOSED = """tr as (select PULocationID, hour, pickup_count as y, case when c
         join lv on lv.PULocationID = tr.PULocationID)"""
 
 
+# Values have small denominators: nine digits hold them apart, six would end on ties.
 @query(
-    "e9_decomposition", "PULocationID:i hour:t trend:d seasonal:d residual:d", "dense",
+    "e9_decomposition", "PULocationID:i hour:t trend:d9 seasonal:d9 residual:d9", "dense",
     f"with {DECOMPOSED.format(centre='avg')} select * from parts",
 )
 def _(t):
     return diagnostics.decompose(t.dense, "pickup_count", 24, config=CONFIG)
 
 
-# Values are multiples of 1/384: nine digits hold them apart, six would end on ties.
 @query(
     "e9_robust_decomposition", "PULocationID:i hour:t trend:d9 seasonal:d9 residual:d9", "dense",
     f"with {DECOMPOSED.format(centre='median')} select * from parts",

@@ -106,28 +106,27 @@ def _(t):
 @query(
     "s17_wide_to_long", "PULocationID:i d:s sales:i", "trips",
     """with pairs as (select distinct PULocationID from trips),
-        days as (select unnest(range(1, 31)) as n),
-        c as (select PULocationID, day(pickup_dt) as n, count(*) as k from trips group by 1, 2)
+        c as (select PULocationID, strftime(pickup_dt, '%Y%m%d') as n, count(*) as k from trips group by 1, 2),
+        days as (select distinct n from c)
     select p.PULocationID, 'd_' || d.n as d, coalesce(c.k, 0) as sales
     from pairs p cross join days d left join c on c.PULocationID = p.PULocationID and c.n = d.n""",
 )
 def _(t):
-    wide = t.trips.groupBy("PULocationID").agg(
-        *[F.count_if(F.dayofmonth("pickup_dt") == n).alias(f"d_{n}") for n in range(1, 31)]
-    )
+    day = F.concat(F.lit("d_"), F.date_format("pickup_dt", "yyyyMMdd"))
+    wide = t.trips.withColumn("day", day).groupBy("PULocationID").pivot("day").count().na.fill(0)
     return sales.wide_to_long(wide)
 
 
 # --- projections and filters ----------------------------------------------
 
 @query(
-    "p1_clean_trips", "PULocationID:i pickup_dt:t event_type:s", "trips",
+    "p1_clean_trips", "PULocationID:i pickup_dt:t event_type:s", "trips zones",
     """select * from trips where pickup_dt is not null and PULocationID is not null
         and pickup_dt between timestamp '2024-01-01' and timestamp '2024-01-31 23:59:59'
-        and PULocationID between 1 and 263""",
+        and PULocationID in (select LocationID from zones)""",
 )
 def _(t):
-    return op.clean_trips(t.trips, CONFIG)
+    return op.clean_trips(t.trips, CONFIG, zones=t.zones)
 
 
 @query(
@@ -155,7 +154,7 @@ def _(t):
 def _(t):
     from dataclasses import replace
 
-    return op.reject_report(t.trips, replace(CONFIG, max_zone=100))
+    return op.reject_report(t.trips, replace(CONFIG, min_zone=1, max_zone=100))
 
 
 @query(
@@ -555,7 +554,7 @@ def _(t):
     "preprocess_trips", PANEL, "trips zones",
     """with good as (select PULocationID, date_trunc('hour', pickup_dt) as hour from trips
         where pickup_dt between timestamp '2024-01-01' and timestamp '2024-01-31 23:59:59'
-            and PULocationID between 1 and 263),
+            and PULocationID in (select LocationID from zones)),
     c as (select PULocationID, hour, count(*) as n from good group by 1, 2),
     g as (select a.PULocationID, b.hour from (select distinct PULocationID from c) a,
         (select unnest(generate_series(min(hour), max(hour), interval 1 hour)) as hour from c) b)

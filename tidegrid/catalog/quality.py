@@ -58,7 +58,7 @@ def _(t):
     f"with {GAPPY}, z as ({ZERO_SQL}) select * from z order by zero_pct desc, \"column\" limit 5",
 )
 def _(t):
-    return quality.top_entries(quality.zero_rates(gappy(t)), "zero_pct")
+    return quality.top_entries(quality.zero_rates(gappy(t)), "zero_pct", n=5)
 
 
 OUTLIER_SQL = per_column(

@@ -16,8 +16,9 @@ class DemandConfig:
     service: str = "service_zone"
     taxi_type: str = "yellow"
     months: tuple[str, ...] = ("2024-07", "2024-08", "2024-09", "2024-10", "2024-11", "2024-12")
-    min_zone: int = 1
-    max_zone: int = 263
+    # Bounds of valid keys, for callers that have no lookup to tell; None: no bound.
+    min_zone: int | None = None
+    max_zone: int | None = None
     lags: tuple[int, ...] = (1, 2, 3, 24, 48, 168)
     windows: tuple[int, ...] = (3, 6, 24, 168)
     stats: tuple[str, ...] = ("mean", "std", "min", "max")

@@ -7,6 +7,7 @@ the wide form with one column per model.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -135,10 +136,13 @@ def boosted_meta(actual: str = "actual", iterations: int = 200):
 class StackedModel:
     def __init__(self, models: Sequence[str], meta):
         self.models, self.meta = list(models), meta
-        self.assembler = VectorAssembler(inputCols=self.models, outputCol="__meta", handleInvalid="skip")
+        self.assembler = VectorAssembler(inputCols=self.models, outputCol="__meta", handleInvalid="keep")
 
     def predict(self, wide: DataFrame) -> DataFrame:
-        return self.meta.transform(self.assembler.transform(wide)).drop("__meta")
+        """All rows; the prediction is NULL where a base prediction is missing."""
+        missing = reduce(lambda a, b: a | b, (F.col(m).isNull() | F.isnan(m) for m in self.models))
+        answered = self.meta.transform(self.assembler.transform(wide)).drop("__meta")
+        return answered.withColumn("prediction", F.when(~missing, F.col("prediction")))
 
     def weights(self, spark: SparkSession) -> DataFrame:
         """Coefficient or importance per model, NULL when the meta-learner has neither."""

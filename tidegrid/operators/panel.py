@@ -25,26 +25,41 @@ def parse_time(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
+def in_bounds(config: DemandConfig = DEFAULT) -> Column:
+    """Whether the key is inside the bounds that the configuration sets."""
+    low = F.lit(True) if config.min_zone is None else F.col(config.key) >= config.min_zone
+    return low if config.max_zone is None else low & (F.col(config.key) <= config.max_zone)
+
+
 def reject_reason(config: DemandConfig = DEFAULT, time: str = "pickup_dt") -> Column:
     """Name of the first rule a trip breaks, NULL for a good trip."""
     start, end = month_bounds(config.months)
     return (
         F.when(F.col(time).isNull() | F.col(config.key).isNull(), "missing")
         .when(~F.col(time).between(start, end), "outside_months")
-        .when(~F.col(config.key).between(config.min_zone, config.max_zone), "invalid_zone")
+        .when(~in_bounds(config), "invalid_zone")
     )
 
 
-def clean_trips(trips: DataFrame, config: DemandConfig = DEFAULT, time: str = "pickup_dt") -> DataFrame:
-    """Keep trips with a time inside the configured months and a valid zone."""
+def clean_trips(
+    trips: DataFrame, config: DemandConfig = DEFAULT, time: str = "pickup_dt", zones: DataFrame | None = None
+) -> DataFrame:
+    """Keep trips with a time inside the configured months and a valid zone: inside the
+    configured bounds, and known to the lookup ``zones`` (column LocationID) if it is given."""
     start, end = month_bounds(config.months)
-    return (
+    kept = (
         parse_time(trips, time)
         .dropna(subset=[time, config.key])
         .filter(F.col(time).between(start, end))
-        .filter(F.col(config.key).between(config.min_zone, config.max_zone))
-        .withColumn(config.key, F.col(config.key).cast("smallint"))
+        .filter(in_bounds(config))
     )
+    return kept if zones is None else known_keys(kept, zones, config)
+
+
+def known_keys(rows: DataFrame, zones: DataFrame, config: DemandConfig = DEFAULT) -> DataFrame:
+    """Rows whose key the lookup has."""
+    known = zones.select(F.col("LocationID").cast(rows.schema[config.key].dataType).alias(config.key))
+    return rows.join(known, config.key, "left_semi")
 
 
 def reject_report(trips: DataFrame, config: DemandConfig = DEFAULT, time: str = "pickup_dt") -> DataFrame:

@@ -89,23 +89,24 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def shape(df: DataFrame) -> DataFrame:
-    """Row and column counts and the names of time and numeric columns (first 15)."""
+    """Row and column counts and the names of time and numeric columns."""
     times = [f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp", "timestamp_ntz")]
     return df.agg(F.count(F.lit(1)).alias("row_count")).withColumns(
         {
             "column_count": F.lit(len(df.columns)),
             "datetime_columns": F.lit(",".join(times)),
-            "numeric_columns": F.lit(",".join(numeric_names(df)[:15])),
+            "numeric_columns": F.lit(",".join(numeric_names(df))),
         }
     )
 
 
-def top_entries(table: DataFrame, score: str, n: int = 5) -> DataFrame:
-    return table.orderBy(F.col(score).desc(), "column").limit(n)
+def top_entries(table: DataFrame, score: str, n: int | None = None) -> DataFrame:
+    """The ``n`` highest entries, all without ``n``."""
+    return table if n is None else table.orderBy(F.col(score).desc(), "column").limit(n)
 
 
-def quality_report(df: DataFrame, key: str, time: str) -> DataFrame:
-    """All checks as tidy rows ``(check, column, value)``."""
+def quality_report(df: DataFrame, key: str, time: str, top: int | None = None) -> DataFrame:
+    """All checks as tidy rows ``(check, column, value)``; ``top`` keeps the highest zero rates and outlier counts only."""
     row = lambda check, column, value: (F.lit(check).alias("check"), column.alias("column"), value.cast("double").alias("value"))
     none = F.lit(None).cast("string")
     parts = [
@@ -113,8 +114,8 @@ def quality_report(df: DataFrame, key: str, time: str) -> DataFrame:
             F.explode(F.array(*[F.struct(*row(c, none, F.col(c))) for c in ("row_count", "column_count")])).alias("r")
         ).select("r.*"),
         missing_values(df).filter("missing > 0").select(*row("missing", F.col("column"), F.col("missing"))),
-        top_entries(zero_rates(df), "zero_pct").select(*row("zero_pct", F.col("column"), F.col("zero_pct"))),
-        top_entries(iqr_outliers(df), "outliers").select(*row("outliers", F.col("column"), F.col("outliers"))),
+        top_entries(zero_rates(df), "zero_pct", top).select(*row("zero_pct", F.col("column"), F.col("zero_pct"))),
+        top_entries(iqr_outliers(df), "outliers", top).select(*row("outliers", F.col("column"), F.col("outliers"))),
         duplicate_rows(df).select(*row("duplicate_rows", none, F.col("duplicate_rows"))),
     ]
     cover = coverage(df, key, time)

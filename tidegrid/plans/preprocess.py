@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.config import DEFAULT, DemandConfig
-from tidegrid.operators.panel import attach_zones, clean_trips, dense_grid, hourly_counts
+from tidegrid.operators.panel import attach_zones, clean_trips, dense_grid, hourly_counts, known_keys
 from tidegrid.session import pin_utc
 from tidegrid.sources.tables import write_by_month
 from tidegrid.sources.trips import read_trips
@@ -13,8 +13,11 @@ from tidegrid.sources.zones import read_zone_lookup
 
 
 def build_panel(trips: DataFrame, lookup: DataFrame, config: DemandConfig = DEFAULT) -> DataFrame:
-    """Clean, count per (zone, hour), make dense, name the zones."""
-    counts = hourly_counts(clean_trips(trips, config), config)
+    """Clean, count per (zone, hour), make dense, name the zones.
+
+    Zones the lookup lacks go after the counting, when few rows are left to compare.
+    """
+    counts = known_keys(hourly_counts(clean_trips(trips, config), config), lookup, config)
     return attach_zones(dense_grid(counts, config), lookup, config)
 
 

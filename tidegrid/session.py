@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if current is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidegrid-"))
         current = context.getCheckpointDir()

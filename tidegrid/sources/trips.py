@@ -33,13 +33,15 @@ def read_trips(spark: SparkSession, directory: str, taxi_type: str = "yellow") -
 def missing_months(
     spark: SparkSession, directory: str, months: Sequence[str], taxi_type: str = "yellow"
 ) -> DataFrame:
-    """Wanted months without a file. Lists file names, reads no file."""
+    """Wanted months without a file (all, if the folder is empty). Lists file names, reads no file."""
     wanted = spark.createDataFrame([(m,) for m in months], "month string")
-    names = (
-        spark.read.format("binaryFile")
-        .load(f"{directory}/{taxi_type}_tripdata_*.parquet")
-        .select(F.regexp_extract("path", r"_tripdata_(\d{4}-\d{2})\.parquet", 1).alias("month"))
-    )
+    try:
+        files = spark.read.format("binaryFile").load(f"{directory}/{taxi_type}_tripdata_*.parquet")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return wanted  # the first ingest: no file yet
+    names = files.select(F.regexp_extract("path", r"_tripdata_(\d{4}-\d{2})\.parquet", 1).alias("month"))
     return wanted.join(names, "month", "left_anti")
 
 
