@@ -104,3 +104,26 @@ def test_zones_are_valid_when_the_lookup_has_them(spark):
     zones = spark.sql("select cast(id as int) as LocationID from range(0, 40001, 16000)")
     assert clean_trips(trips).count() == 6
     assert sorted(r.PULocationID for r in clean_trips(trips, zones=zones).collect()) == [0, 16000, 32000]
+
+from tidegrid.operators.panel import dense_grid as _dense
+from tidegrid.operators.series import add_history_features as _features
+from tidegrid.streaming.live import feature_writer
+
+
+def test_live_features_equal_the_batch_features_over_several_batches(spark, tmp_path):
+    """Quiet hours between batches, a key that comes later, and a batch that is run again."""
+    counts = spark.sql(
+        "select cast(k as int) as PULocationID, timestamp'2024-07-01 00:00:00' + make_dt_interval(0, h) as hour, cast(1 + (h * 7 + k) % 5 as int) as pickup_count, h "
+        "from (select explode(sequence(0, 229)) as h) lateral view explode(array(1, 2, 3)) as k "
+        "where not h between 60 and 66 and h % 5 <> k and (k < 3 or h >= 120)"
+    )
+    process = feature_writer(str(tmp_path / "panel"), str(tmp_path / "features"))
+    for i, (a, b) in enumerate([(0, 60), (60, 150), (150, 230)]):
+        part = counts.filter((counts.h >= a) & (counts.h < b)).drop("h")
+        process(part, i)
+        process(part, i)
+    got = spark.read.parquet(str(tmp_path / "features")).drop("batch")
+    want = _features(_dense(counts.drop("h"), DemandConfig()), "pickup_count", DemandConfig()).select(*got.columns)
+    assert got.count() == want.count() == 3 * 230
+    rounded = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in ((*(str(v) if i < 2 else (-1e9 if v is None else v) for i, v in enumerate(r)),) for r in df.select("PULocationID", "hour", *[c for c in got.columns if c not in ("PULocationID", "hour")]).collect()))
+    assert rounded(got) == rounded(want)
