@@ -11,18 +11,24 @@ from pyspark.sql import functions as F
 from tidegrid.catalog.base import CONFIG, Tables, query
 from tidegrid.catalog.panel import scratch
 from tidegrid.models import ensemble
+from tidegrid.functions.metrics import evaluate
 from tidegrid.models.autoregression import SeasonalAutoregression
 from tidegrid.models.backtest import Backtest, tune
+from tidegrid.models.boosting import BoostedTrees, boosting_presets
 from tidegrid.models.explain import permutation_importance
 from tidegrid.models.plugin import per_series
 from tidegrid.models.rollout import roll_out
+from tidegrid.models.selector import ColumnForecast, LinearPerSeries, SeriesSelector, linear_candidates
 from tidegrid.models.smoothing import Smoothing
+from tidegrid.models.store import load_model, save_model
 from tidegrid.models.trees import TreeForecaster, load_trees, presets
 from tidegrid.models.trend import TrendSeason
-from tidegrid.operators.splits import split_last_hours
+from tidegrid.operators.encoding import feature_columns
+from tidegrid.operators.series import tail
+from tidegrid.operators.splits import last_horizon, split_last_hours
 from tidegrid.plans.features import build_features
 from tidegrid.plans.prediction import forecast_all_zones, forecast_zone, score_last_hours
-from tidegrid.plans.training import compare_models
+from tidegrid.plans.training import NOT_FEATURES, compare_models
 from tidegrid.sources.tables import log_run, run_metrics
 
 FEATURES = ("lag_1h", "lag_24h", "lag_168h", "rolling_mean_24h", "rolling_std_24h", "hour_of_day", "day_of_week")
@@ -43,16 +49,25 @@ def split(t: Tables):
 PREDICTION = "PULocationID:i hour:t prediction:d"
 
 
+#: Rounds that patience may cut short; the trees see every feature of the table.
+BOOSTING = dict(iterations=40, max_depth=5, step=0.1, patience=4, val_size=24)
+
+
+def boosted(t: Tables, kind: int):
+    """Fitted on all but the last week, and that week with its predictions."""
+    train, test = split(t)
+    spec = boosting_presets(feature_columns(train, NOT_FEATURES), **BOOSTING)[kind]
+    return spec.fit(train).predict(test)
+
+
 @query("m1_boosted_trees", PREDICTION)
 def _(t):
-    train, test = split(t)
-    return TreeForecaster(FEATURES, val_size=24, **SMALL).fit(train).predict(test)
+    return boosted(t, 0)
 
 
 @query("m2_fine_boosted_trees", PREDICTION)
 def _(t):
-    train, test = split(t)
-    return presets(FEATURES, **SMALL)[1].fit(train).predict(test)
+    return boosted(t, 1)
 
 
 @query("m3_tree_forest", PREDICTION)
@@ -61,6 +76,75 @@ def _(t):
     return presets(FEATURES, **SMALL)[2].fit(train).predict(test)
 
 
+@query("m3_symmetric_trees", PREDICTION)
+def _(t):
+    return boosted(t, 2)
+
+
+def held_week() -> str:
+    """What a forecast of the last week must be: whole, and better than last week's hour."""
+    return """select (select count(*) from dense where hour > (select max(hour) - interval 168 hour from dense)) as n_rows,
+        0 as n_missing, 'true' as beats_naive"""
+
+
+def week_facts(predicted):
+    error = lambda name: F.sqrt(F.avg(F.pow(F.col(name) - F.col("pickup_count"), 2)))
+    return predicted.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("n_missing"),
+        (error("prediction") < error("lag_168h")).cast("string").alias("beats_naive"),
+    )
+
+
+for _name, _kind in (("m1_better_than_naive", 0), ("m2_better_than_naive", 1), ("m3_better_than_naive", 2)):
+    query(_name, "n_rows:i n_missing:i beats_naive:s", "dense", held_week())(lambda t, kind=_kind: week_facts(boosted(t, kind)))
+
+
+HOUR_CUTS = tuple(float(h) for h in range(23))
+SPLIT_SPEC = BoostedTrees(
+    ("hour_of_day", "day_of_week", "naive_24"), iterations=1, max_depth=2, step=0.5, l1=2.0, l2=5.0, subsample=1.0, feature_fraction=1.0,
+    min_instances=20, val_size=0, cuts={"hour_of_day": HOUR_CUTS, "day_of_week": HOUR_CUTS[:6], "naive_24": (0.0, 1.0, 2.0, 3.0)},
+)
+_PULL = "pow(greatest(abs({g}) - 2e0, 0), 2) / ({h} + 5e0)"
+_CUT_GAIN = f"{_PULL.format(g='gl', h='hl')} + {_PULL.format(g='(gt - gl)', h='(ht - hl)')} - {_PULL.format(g='gt', h='ht')}"
+
+
+def _best_cut(source: str) -> str:
+    """The best cut of every node (path) of ``source`` (path, g, f0, f1, f2)."""
+    return f"""select *, round_even(gain * 1e6, 0) / 1e6 as gain6 from (
+            select *, {_CUT_GAIN} as gain from (
+                select path, o, c, sum(case when v <= c then g else 0 end) as gl, count(*) filter (v <= c) as hl, sum(g) as gt, count(*) as ht
+                from (select path, g, unnest([0, 1, 2]) as o, unnest([f0, f1, f2]) as v from {source}) join cuts using (o) group by all))
+        where hl >= 20 and ht - hl >= 20 and gain > 1e-9
+        qualify row_number() over (partition by path order by round_even(gain * 1e6, 0) desc, o, c) = 1"""
+
+
+@query(
+    "m1_first_splits", "path:s feature:s threshold:d gain:d3 rows:i value:d", "candidates",
+    f"""with y as (select pickup_count as y, cast(hour(hour) as double) as f0, cast(isodow(hour) - 1 as double) as f1, naive_24 as f2 from candidates),
+        x as materialized (select '' as path, round_even(((select avg(y) from y) - y) * 65536, 0) / 65536 as g, f0, f1, f2 from y),
+        cuts as (select 0 as o, unnest(range(0, 23)) as c union all select 1, unnest(range(0, 6)) union all select 2, unnest(range(0, 4))),
+        b0 as materialized ({_best_cut('x')}),
+        x1 as materialized (select case when list_extract([f0, f1, f2], o + 1) <= c then 'L' else 'R' end as path, x.g, f0, f1, f2 from x, b0),
+        b1 as materialized ({_best_cut('x1')}),
+        x2 as (select x1.path || case when o is null then '' when list_extract([f0, f1, f2], o + 1) <= c then 'L' else 'R' end as path, x1.g
+            from x1 left join b1 on b1.path = x1.path),
+        names as (select unnest([0, 1, 2]) as o, unnest(['hour_of_day', 'day_of_week', 'naive_24']) as feature)
+    select path, feature, cast(c as double) as threshold, gain6 as gain, ht as rows, 0e0 as value
+        from (select * from b0 union all select * from b1) join names using (o)
+    union all
+    select path, null, null, 0e0, count(*), -0.5e0 * sign(sum(g)) * greatest(abs(sum(g)) - 2e0, 0) / (count(*) + 5e0) from x2 group by path""",
+)
+def _(t):
+    day = F.weekday("hour").cast("double")
+    rows = t.candidates.withColumns({"hour_of_day": F.hour("hour").cast("double"), "day_of_week": day})
+    nodes = SPLIT_SPEC.fit(rows).nodes(t.spark)
+    above = nodes.select(F.col("node").alias("parent"), F.explode(F.array(F.struct("left", F.lit("L").alias("side")), F.struct(F.col("right").alias("left"), F.lit("R").alias("side")))).alias("s"))
+    above = above.filter("s.left is not null").select("parent", F.col("s.left").alias("node"), F.col("s.side").alias("side"))
+    grand = above.select(F.col("node").alias("parent"), F.col("side").alias("before"))
+    paths = above.join(grand, "parent", "left").select("node", F.concat(F.coalesce("before", F.lit("")), "side").alias("path"))
+    return nodes.join(paths, "node", "left").withColumn("path", F.coalesce("path", F.lit("")))
+
+
 @query("m4_feature_importance", "feature:s importance:d")
 def _(t):
     train, _ = split(t)
@@ -239,6 +323,58 @@ def _(t):
     return permutation_importance(columns, fitted.predict, FEATURES[:3], config=CONFIG)
 
 
+SELECTION_FEATURES = {"day": ["naive_24"], "week": ["naive_168"], "mean": ["mean_24"]}
+_LONG = """f as materialized (select *, row_number() over (partition by PULocationID order by hour desc) as r,
+            count(*) over (partition by PULocationID) as n from candidates),
+        l as materialized (select PULocationID, hour, pickup_count as y, r, o, m, x from (
+            select *, unnest([0, 1, 2]) as o, unnest(['day', 'week', 'mean']) as m, unnest([naive_24, naive_168, mean_24]) as x from f) where n > 28)"""
+_FIT = """select PULocationID, m, coalesce(regr_slope(y, x), 0) as b,
+            case when regr_slope(y, x) is null then avg(y) else regr_intercept(y, x) end as a from l {} group by 1, 2"""
+
+
+@query(
+    "m14_selector_predictions", "PULocationID:i hour:t best_model:s prediction:d", "candidates",
+    f"""with {_LONG},
+        w as (select PULocationID, m from (
+            select l.PULocationID, l.m, l.o, round(sqrt(avg(pow(y - a - b * x, 2))), 9) as score
+            from l join ({_FIT.format('where r > 28')}) using (PULocationID, m) where r <= 28 group by all)
+            qualify row_number() over (partition by PULocationID order by score, o) = 1)
+    select l.PULocationID, hour, m as best_model, a + b * x as prediction
+    from l join w using (PULocationID, m) join ({_FIT.format('')}) using (PULocationID, m)
+    where hour > (select max(hour) - interval 24 hour from f)""",
+)
+def _(t):
+    selected = SeriesSelector(linear_candidates(SELECTION_FEATURES), 28, config=CONFIG).fit(t.candidates)
+    return selected.predict(last_horizon(t.candidates, "hour", 24))
+
+
+@query(
+    "s14_stored_linear_model", PREDICTION, "candidates",
+    f"""with {_LONG} select PULocationID, hour, a + b * x as prediction
+        from l join ({_FIT.format('')}) using (PULocationID, m) where m = 'day' and r <= 24""",
+)
+def _(t):
+    path = scratch(t, "model")
+    save_model(LinearPerSeries(("naive_24",)).fit(t.candidates), path, t.spark)
+    return load_model(t.spark, path, "linear", CONFIG).predict(tail(t.candidates, 24, ["PULocationID"], "hour"))
+
+
+@query(
+    "s14_stored_selector", "PULocationID:i hour:t best_model:s prediction:d", "candidates",
+    """with f as (select *, row_number() over (partition by PULocationID order by hour desc) as r, count(*) over (partition by PULocationID) as n from candidates),
+        s as (select PULocationID, sqrt(avg(pow(pickup_count - naive_24, 2))) as day, sqrt(avg(pow(pickup_count - mean_24, 2))) as mean
+            from f where r <= 28 and n > 28 group by 1)
+    select PULocationID, hour, case when round(day, 9) <= round(mean, 9) then 'day' else 'mean' end as best_model,
+        case when round(day, 9) <= round(mean, 9) then naive_24 else mean_24 end as prediction
+    from f join s using (PULocationID) where r <= 24""",
+)
+def _(t):
+    path = scratch(t, "model")
+    columns = {"day": ColumnForecast("naive_24"), "mean": ColumnForecast("mean_24")}
+    save_model(SeriesSelector(columns, 28, config=CONFIG).fit(t.candidates), path, t.spark)
+    return load_model(t.spark, path, "selector", CONFIG).predict(tail(t.candidates, 24, ["PULocationID"], "hour"))
+
+
 @query("s14_saved_model", PREDICTION)
 def _(t):
     train, test = split(t)
@@ -249,8 +385,6 @@ def _(t):
 
 @query("s15_run_table", "run:s model:s name:s value:d")
 def _(t):
-    from tidegrid.functions.metrics import evaluate
-
     path = scratch(t, "runs")
     for row in evaluate(t.predictions, "actual", "predicted", by=["model"]).collect():  # one row per model
         log_run(t.spark, path, "first", row["model"], {"season": 24}, {m: row[m] for m in ("rmse", "mae", "smape")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,10 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage and runs the plan only once."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
