@@ -50,7 +50,7 @@ PREDICTION = "PULocationID:i hour:t prediction:d"
 
 
 #: Rounds that patience may cut short; the trees see every feature of the table.
-BOOSTING = dict(iterations=40, max_depth=5, step=0.1, patience=4, val_size=24)
+BOOSTING = dict(iterations=30, max_depth=4, step=0.1, patience=3, val_size=24)
 
 
 def boosted(t: Tables, kind: int):

@@ -27,7 +27,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidegrid.config import DEFAULT
 from tidegrid.operators.splits import hold_out
@@ -115,11 +114,6 @@ def _sampled(u: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
     return (z >> np.uint64(11)).astype(float) < share * 2.0**53
 
 
-def _score(g: Column, h: Column, l1: float, l2: float) -> Column:
-    pulled = F.greatest(F.abs(g) - F.lit(l1), F.lit(0.0))
-    return F.coalesce(F.try_divide(pulled * pulled, h + F.lit(l2)), F.lit(0.0))
-
-
 @dataclass(frozen=True)
 class BoostedTrees:
     """Parameters of a boosted model; ``cuts`` fixes the cut points of features instead of quantiles."""
@@ -231,31 +225,30 @@ class BoostedTrees:
 
     def _candidates(self, hist: DataFrame) -> DataFrame:
         """Every cut of every node: rows and gradients to its left, totals, gain (NULL if not allowed)."""
-        of = Window.partitionBy("node", "feature")
-        up_to = of.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cuts = hist.withColumns({"gl": F.sum("g").over(up_to), "hl": F.sum("h").over(up_to), "gt": F.sum("g").over(of), "ht": F.sum("h").over(of)})
-        gr, hr = F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")
-        score = lambda g, h: _score(g, h, self.l1, self.l2)
-        gain = score(F.col("gl"), F.col("hl")) + score(gr, hr) - score(F.col("gt"), F.col("ht"))
-        least = F.lit(float(max(self.min_instances, 1)))
-        allowed = (F.col("hl") >= least) & (hr >= least) & (gain > F.lit(max(self.min_gain, 1e-9))) & (F.col("node") >= 0)
+        of = "over (partition by node, feature"
+        up_to = f"{of} order by bin rows between unbounded preceding and current row)"
+        score = lambda g, h: f"coalesce(try_divide(pow(greatest(abs({g}) - {float(self.l1)!r}D, 0D), 2), {h} + {float(self.l2)!r}D), 0D)"
+        gain = f"{score('gl', 'hl')} + {score('(gt - gl)', '(ht - hl)')} - {score('gt', 'ht')}"
+        least = float(max(self.min_instances, 1))
+        cuts = hist.selectExpr("*", f"sum(g) {up_to} as gl", f"sum(h) {up_to} as hl", f"sum(g) {of}) as gt", f"sum(h) {of}) as ht").selectExpr("*", f"{gain} as raw")
         # Equal gains go to the first feature and cut; the sixth digit is what counts.
-        return cuts.withColumn("gain", F.when(allowed, F.rint(gain * 1e6) / 1e6))
+        allowed = f"node >= 0 and hl >= {least!r}D and ht - hl >= {least!r}D and raw > {max(self.min_gain, 1e-9)!r}D"
+        return cuts.selectExpr("node", "feature", "bin", "gl", "hl", "gt", "ht", f"if({allowed}, rint(raw * 1e6D) / 1e6D, null) as gain")
 
     def best_splits(self, hist: DataFrame) -> DataFrame:
         """node, gt, ht and the best split (feature, bin, gain, gl, hl; NULL without one)."""
         cuts = self._candidates(hist)
-        order = F.struct("gain", -F.col("feature"), -F.col("bin"))
+        first = "struct(gain, -feature, -bin)"
         if self.growth != "symmetric":
-            best = F.max_by(F.struct("feature", "bin", "gain", "gl", "hl"), F.when(F.col("gain").isNotNull(), order))
-            return cuts.groupBy("node").agg(F.max("gt").alias("gt"), F.max("ht").alias("ht"), best.alias("s")).select("node", "gt", "ht", "s.*")
+            best = f"max_by(struct(feature, bin, gain, gl, hl), if(gain is null, null, {first})) as s"
+            return cuts.groupBy("node").agg(F.expr("max(gt) as gt"), F.expr("max(ht) as ht"), F.expr(best)).select("node", "gt", "ht", "s.*")
         total = cuts.groupBy("feature", "bin").agg(
-            F.sum(F.coalesce("gain", F.lit(0.0))).alias("gain"),
-            F.collect_list(F.struct("node", "gt", "ht", "feature", "bin", F.coalesce("gain", F.lit(0.0)).alias("gain"), "gl", "hl")).alias("nodes"),
+            F.expr("sum(coalesce(gain, 0D)) as gain"),
+            F.expr("collect_list(struct(node, gt, ht, feature, bin, coalesce(gain, 0D) as gain, gl, hl)) as nodes"),
         )
-        split = total.filter("gain > 0 and feature >= 0").agg(F.max_by("nodes", order).alias("nodes"))
-        loss = cuts.filter("node < 0").select("node", "gt", "ht", *(F.lit(None).cast(k).alias(c) for c, k in (("feature", "int"), ("bin", "int"), ("gain", "double"), ("gl", "double"), ("hl", "double"))))
-        return split.select(F.inline("nodes")).unionByName(loss)
+        split = total.filter("gain > 0 and feature >= 0").agg(F.expr(f"max_by(nodes, {first}) as nodes")).selectExpr("inline(nodes)")
+        loss = cuts.filter("node < 0").selectExpr("node", "gt", "ht", "null as feature", "null as bin", "null as gain", "null as gl", "null as hl")
+        return split.unionByName(loss)
 
     # --- growing ---
 

@@ -40,11 +40,15 @@ def live_trailing_counts(
     delay: str = "2 hours",
     config: DemandConfig = DEFAULT,
 ) -> DataFrame:
-    """Trips per key in the trailing window that ends at each step."""
+    """Trips per key in the trailing window that ends at each step.
+
+    Two stateful operators in a row: trips are counted per step first, so only one row per
+    key and step is copied into the windows that hold it.
+    """
+    counts = trips.withWatermark(time, delay).groupBy(F.window(time, step).alias("w"), config.key).agg(F.count(F.lit(1)).alias("n"))
     return (
-        trips.withWatermark(time, delay)
-        .groupBy(F.window(time, length, step).alias("w"), config.key)
-        .agg(F.count(F.lit(1)).alias("trailing_count"))
+        counts.groupBy(F.window(F.window_time("w"), length, step).alias("w"), config.key)
+        .agg(F.sum("n").alias("trailing_count"))
         .select(config.key, F.col("w.end").alias("as_of"), "trailing_count")
     )
 
