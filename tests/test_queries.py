@@ -10,7 +10,8 @@ FOLDER = "/root/testdata/sf0.001"
 CHOSEN = [
     "top_zones_by_rolling_mean", "preprocess_trips", "w2_rolling_features", "w15_series_folds", "f6_holiday_features",
     "a16_region_zone_rollup", "a27_drift", "u2_model_agreement", "m14_best_model_per_zone", "e11_acf",
-    "m8_holt_winters_fit", "t4_live_hourly_counts",
+    "m8_holt_winters_fit", "t4_live_hourly_counts", "t5_live_trailing_day", "t6_ring_features", "m14_selector_predictions",
+    "m1_first_splits", "s14_stored_linear_model", "s14_stored_selector",
 ]
 
 
