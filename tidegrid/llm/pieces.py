@@ -5,18 +5,22 @@ no piece of the vocabulary reaches over. The distinct marked words of a batch ar
 which lists the leaves of their trie in depth-first order: the forward states of a word
 are kept up to the prefix it shares with the next one, and only the rest is computed.
 
-The vocabulary is one of merged pairs, so the state of a prefix is the last piece of its
-segmentation instead of a best sum of scores. It is found as in a Viterbi pass, from the
-states of shorter prefixes: it is the one piece that ends here and stays apart from the
-last piece of the prefix before it when the two are merged together. Words that start
-with several marks hold merges of equal rank and are merged directly.
-
-Maps only, no shuffle. Tasks keep a bounded memo of words.
-
-Defined cases: null and empty texts have no ids and decode to the empty text; characters
-outside the vocabulary become their UTF-8 bytes; the mark itself in a text decodes to a
-space, as does what the normaliser changes; equal rows are separate; an empty table gives
-no rows; other columns are ignored.
+With a vocabulary of unigram scores the state of a prefix is its best sum of scores and
+the last piece of that segmentation; of equal sums the longer last piece stays (the library
+lets the rounding of its total over the whole text decide there). With one
+of merged pairs a best sum would give other ids than the library's, so there the state is
+the last piece alone: the one piece that ends here and stays apart from the last piece of
+the prefix before it when the two are merged together. Words that start with several
+marks hold merges of equal rank and are merged directly.
+
+Maps only, no shuffle; encoding and decoding share one map. A task's memo of words is
+bounded by bytes, that of pairs by number.
+
+Defined cases: null and empty texts have no ids and decode to the empty text; texts and
+words of any length are taken whole; characters outside the vocabulary become their UTF-8
+bytes (without byte pieces: the unknown piece, neighbours as one); the mark itself in a
+text decodes to a space, as does what the normaliser changes; equal rows are separate; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +40,14 @@ from pyspark.sql import types as T
 from tidegrid.llm.common import process_memo, small_batches, texts_of
 
 MARK = "▁"
-MEMO_WORDS = 400_000
-MEMO_PAIRS = 2_000_000
+#: Bytes that the memo of words may hold (with about 200 for an entry), and entries of that of pairs (one number each).
+MEMO_BYTES = 24 << 20
+MEMO_PAIRS = 200_000
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-# Fixed values of the model file format: piece types and the model type of merged pairs.
+# Fixed values of the model file format: piece types, model types, and how far an unknown character lies below the lowest score.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MERGED_PAIRS = 2
+UNIGRAM, MERGED_PAIRS = 1, 2
+UNKNOWN_PENALTY = 10.0
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -71,7 +77,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 
 
 class PieceModel:
-    """Pieces, ranks and byte pieces of a model file of merged pairs."""
+    """Pieces, scores (or ranks) and byte pieces of a model file of unigram scores or merged pairs."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -80,13 +86,14 @@ class PieceModel:
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.raw: list[bytes] = []
-        self.byte_ids = [0] * 256
-        kind_of_model = 1
+        self.byte_ids: list[int | None] = [None] * 256
+        self.unknown = 0
+        kind_of_model = UNIGRAM
         with open(path, "rb") as f:
             data = f.read()
         for field, value in _fields(data):
             if field == 2:
-                kind_of_model = dict(_fields(value)).get(3, 1)
+                kind_of_model = dict(_fields(value)).get(3, UNIGRAM)
             if field != 1:
                 continue
             parts = dict(_fields(value))
@@ -99,14 +106,20 @@ class PieceModel:
                 self.byte_ids[int(piece[3:5], 16)] = i
                 self.raw[i] = bytes([int(piece[3:5], 16)])
             elif kind == UNKNOWN:
-                self.raw[i] = " ⁇ ".encode()
+                self.unknown, self.raw[i] = i, " ⁇ ".encode()
             elif kind == USER_DEFINED:
                 raise ValueError("pieces given by the user are not supported")
-        if kind_of_model != MERGED_PAIRS:
-            raise ValueError("the model is not one of merged pairs")
+        if kind_of_model not in (UNIGRAM, MERGED_PAIRS):
+            raise ValueError("the model is neither one of unigram scores nor of merged pairs")
+        self.by_score = kind_of_model == UNIGRAM
+        if self.by_score and any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("pieces that reach over a mark are not supported")
+        self.byte_pieces = None not in self.byte_ids
+        self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.ids), default=1)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def merged(self, text: str) -> list[str]:
         """Segmentation by merging: the pair of best score first, the leftmost of equals."""
@@ -135,10 +148,13 @@ class PieceModel:
 
     def apart(self, left: str, right: str) -> bool:
         """Whether the two pieces stay as they are side by side (an empty left: whether the right one is one piece)."""
-        key = (left, right)
+        first = self.ids.get(left, -1) + 1 if left else 0
+        if left and not first:  # a character outside the vocabulary
+            return self.merged(left + right) == [left, right]
+        key = first * len(self.raw) + self.ids[right]
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > MEMO_PAIRS:
+            if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -148,56 +164,81 @@ class PieceModel:
         out = array("I")
         for p in pieces:
             i = self.ids.get(p)
-            if i is None:
-                out.extend(self.byte_ids[b] for b in p.encode("utf-8", "replace"))
-            else:
+            if i is not None:
                 out.append(i)
+            elif self.byte_pieces:
+                out.extend(self.byte_ids[b] for b in p.encode("utf-8", "replace"))
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
         return out.tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Code new words in sorted order; states are kept along the shared prefix."""
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        ids, apart, longest = self.ids, self.apart, self.longest
-        last, previous = [""], ""
+    def _best_end(self, word: str, end: int, last: list[str], sums: list[float]) -> str:
+        """The last piece of the best segmentation of ``word[:end]``, whose sum of scores joins ``sums``."""
+        best, found = None, word[end - 1]
+        for start in range(max(0, end - self.longest), end):
+            score = self.scores.get(word[start:end])
+            if score is None and start == end - 1:
+                score = self.unknown_score
+            if score is not None:
+                total = _single(sums[start] + score)
+                if best is None or total > best:
+                    best, found = total, word[start:end]
+        sums.append(best)
+        return found
+
+    def _apart_end(self, word: str, end: int, last: list[str]) -> str:
+        """The last piece of ``word[:end]`` under merging."""
+        for start in range(max(0, end - self.longest), end):
+            piece = word[start:end]
+            if piece in self.ids and self.apart(last[start], piece):
+                return piece
+        return word[end - 1]  # outside the vocabulary, or a character by itself
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Code words in sorted order; states are kept along the shared prefix."""
+        coded: dict[str, bytes] = {}
+        last, sums, previous = [""], [0.0], ""
         for word in sorted(words):
-            if word.startswith(MARK + MARK):
-                self.words[word] = self.coded(self.merged(word))
+            if not self.by_score and word.startswith(MARK + MARK):
+                coded[word] = self.coded(self.merged(word))
                 continue
             shared, most = 0, min(len(word), len(previous))
             while shared < most and word[shared] == previous[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], sums[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if piece in ids and apart(last[start], piece):
-                        break
-                else:
-                    piece = word[end - 1]  # outside the vocabulary, or a character by itself
-                last.append(piece)
+                last.append(self._best_end(word, end, last, sums) if self.by_score else self._apart_end(word, end, last))
             previous = word
             pieces, end = [], len(word)
             while end:
                 pieces.append(last[end])
                 end -= len(last[end])
-            self.words[word] = self.coded(pieces[::-1])
+            coded[word] = self.coded(pieces[::-1])
+        return coded
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_WORDS.findall(t) for t in self.processor.normalize(texts)] if texts else []
-        new = set().union(*cut) - self.words.keys()
+        new = self.learn(set().union(*cut) - self.words.keys())
         memo = self.words
-        if new:
-            old = {w: memo[w] for c in cut for w in c if w in memo} if len(memo) > MEMO_WORDS else {}
-            self.learn(new)
-            memo.update(old)
-        return [b"".join([memo[w] for w in words]) for words in cut]
+        found = [b"".join([new[w] if w in new else memo[w] for w in words]) for words in cut]
+        for word, ids in new.items():
+            self.held += 200 + 4 * len(word) + len(ids)
+            if self.held > MEMO_BYTES:
+                memo.clear()
+                self.held = 200 + 4 * len(word) + len(ids)
+            memo[word] = ids
+        return found
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
+def _single(x: float) -> float:
+    """Rounded to single precision, in which the library adds up scores."""
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
 def _model(path: str) -> PieceModel:
     """The model of a worker; it is a pure function of the file."""
     memo = process_memo("pieces")
@@ -236,9 +277,21 @@ def decoded_text(ids: Column, model_path: str) -> Column:
 
 
 def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, decoded_crc32, round_trip (decoded equals the text) for every document."""
-    coded = encode_documents(docs, model_path).withColumn("decoded", decoded_text(F.col("ids"), model_path))
-    return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids_crc32", F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    """doc_id, n_pieces, ids_crc32, decoded_crc32, round_trip (decoded equals the text) for every document.
+
+    Ids are decoded where they were made; neither they nor the texts leave the task.
+    """
+    kinds = (("n_pieces", T.LongType()), ("ids_crc32", T.LongType()), ("decoded_crc32", T.LongType()), ("round_trip", T.BooleanType()))
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(*k) for k in kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(model_path)
+        for batch in small_batches(batches, limit=1 << 20):
+            texts = texts_of(batch)
+            found = model.encode([t.decode("utf-8", "replace") for t in texts])
+            decoded = [model.decode(memoryview(f).cast("I")).encode("utf-8") for f in found]
+            columns = [len(f) // 4 for f in found], map(zlib.crc32, found), map(zlib.crc32, decoded), [a == b for a, b in zip(texts, decoded)]
+            arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
