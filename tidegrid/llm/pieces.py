@@ -41,8 +41,10 @@ from tidegrid.llm.common import process_memo, small_batches, texts_of
 
 MARK = "▁"
 #: Bytes that the memo of words may hold (with about 200 for an entry), and entries of that of pairs (one number each).
-MEMO_BYTES = 24 << 20
-MEMO_PAIRS = 200_000
+MEMO_BYTES = 64 << 20
+MEMO_PAIRS = 1_000_000
+#: Bytes of text whose words are sorted together; more words share longer prefixes.
+BATCH_BYTES = 8 << 20
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # Fixed values of the model file format: piece types, model types, and how far an unknown character lies below the lowest score.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -112,11 +114,17 @@ class PieceModel:
         if kind_of_model not in (UNIGRAM, MERGED_PAIRS):
             raise ValueError("the model is neither one of unigram scores nor of merged pairs")
         self.by_score = kind_of_model == UNIGRAM
+        self.id_bytes = [struct.pack("<I", i) for i in range(len(self.raw))]
         if self.by_score and any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that reach over a mark are not supported")
         self.byte_pieces = None not in self.byte_ids
         self.unknown_score = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.longest = max(map(len, self.ids), default=1)
+        # Lengths of the pieces that end with the same three characters, longest first.
+        by_ending: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 2:
+                by_ending.setdefault(piece[-3:], set()).add(len(piece))
+        self.lengths = {k: (*sorted(v, reverse=True), 2, 1) for k, v in by_ending.items()}
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.held = 0
@@ -148,16 +156,7 @@ class PieceModel:
 
     def apart(self, left: str, right: str) -> bool:
         """Whether the two pieces stay as they are side by side (an empty left: whether the right one is one piece)."""
-        first = self.ids.get(left, -1) + 1 if left else 0
-        if left and not first:  # a character outside the vocabulary
-            return self.merged(left + right) == [left, right]
-        key = first * len(self.raw) + self.ids[right]
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
+        return self.merged(left + right) == ([left, right] if left else [right])
 
     def coded(self, pieces: list[str]) -> bytes:
         """Little-endian 32-bit ids."""
@@ -172,54 +171,91 @@ class PieceModel:
                 out.append(self.unknown)
         return out.tobytes()
 
-    def _best_end(self, word: str, end: int, last: list[str], sums: list[float]) -> str:
-        """The last piece of the best segmentation of ``word[:end]``, whose sum of scores joins ``sums``."""
-        best, found = None, word[end - 1]
-        for start in range(max(0, end - self.longest), end):
-            score = self.scores.get(word[start:end])
-            if score is None and start == end - 1:
-                score = self.unknown_score
-            if score is not None:
-                total = _single(sums[start] + score)
-                if best is None or total > best:
-                    best, found = total, word[start:end]
-        sums.append(best)
-        return found
-
-    def _apart_end(self, word: str, end: int, last: list[str]) -> str:
-        """The last piece of ``word[:end]`` under merging."""
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece in self.ids and self.apart(last[start], piece):
-                return piece
-        return word[end - 1]  # outside the vocabulary, or a character by itself
+    def _sizes(self, word: str, end: int) -> tuple[int, ...]:
+        """Lengths that a piece ending at ``end`` may have, longest first."""
+        return self.lengths.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1)[2 - end :]
+
+    def _joined(self, before: bytes, piece: str, i: int) -> bytes:
+        """Ids of a prefix and its last piece (``i`` is -1 for a character outside the vocabulary)."""
+        if i >= 0:
+            return before + self.id_bytes[i]
+        if self.byte_pieces:
+            return before + self.coded([piece])
+        unknown = self.id_bytes[self.unknown]
+        return before if before.endswith(unknown) else before + unknown
+
+    def _best_ends(self, word: str, shared: int, states: tuple[list, list, list]) -> None:
+        """Add the state of each longer prefix of ``word``: best sum of scores, ids."""
+        sums, _, codes = states
+        for end in range(shared + 1, len(word) + 1):
+            best, found = None, 1
+            for size in self._sizes(word, end):
+                score = self.scores.get(word[end - size : end]) if size <= end else None
+                if score is None and size == 1:
+                    score = self.unknown_score
+                if score is not None:
+                    total = _single(sums[end - size] + score)
+                    if best is None or total > best:
+                        best, found = total, size
+            piece = word[end - found : end]
+            sums.append(best)
+            codes.append(self._joined(codes[end - found], piece, self.ids.get(piece, -1)))
+
+    def _apart_ends(self, word: str, shared: int, states: tuple[list, list, list]) -> None:
+        """The same under merging, with length and id of the last piece: the one that stays apart from the piece before it."""
+        sizes, lefts, codes = states
+        ids, pairs, lengths, id_bytes, many = self.ids, self.pairs, self.lengths, self.id_bytes, len(self.raw) + 1
+        for end in range(shared + 1, len(word) + 1):
+            for size in lengths.get(word[end - 3 : end], (2, 1)) if end > 2 else (2, 1)[2 - end :]:
+                if size > end:
+                    continue
+                piece = word[end - size : end]
+                i = ids.get(piece)
+                if i is None:
+                    continue
+                start = end - size
+                left = lefts[start]
+                known = pairs.get(left * many + i) if left >= 0 else None
+                if known is None:
+                    known = self.apart(word[start - sizes[start] : start], piece)
+                    if left >= 0:
+                        if len(pairs) >= MEMO_PAIRS:
+                            pairs.clear()
+                        pairs[left * many + i] = known
+                if known:
+                    codes.append(codes[start] + id_bytes[i])
+                    break
+            else:
+                size, i = 1, -1
+                codes.append(self._joined(codes[end - 1], word[end - 1], -1))
+            sizes.append(size)
+            lefts.append(i)
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Code words in sorted order; states are kept along the shared prefix."""
         coded: dict[str, bytes] = {}
-        last, sums, previous = [""], [0.0], ""
+        extend = self._best_ends if self.by_score else self._apart_ends
+        states = ([0.0], [], [b""]) if self.by_score else ([0], [len(self.raw)], [b""])
+        previous, codes = "", states[2]
         for word in sorted(words):
             if not self.by_score and word.startswith(MARK + MARK):
                 coded[word] = self.coded(self.merged(word))
                 continue
-            shared, most = 0, min(len(word), len(previous))
-            while shared < most and word[shared] == previous[shared]:
+            shared = 0
+            for a, b in zip(word, previous):
+                if a != b:
+                    break
                 shared += 1
-            del last[shared + 1 :], sums[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                last.append(self._best_end(word, end, last, sums) if self.by_score else self._apart_end(word, end, last))
-            previous = word
-            pieces, end = [], len(word)
-            while end:
-                pieces.append(last[end])
-                end -= len(last[end])
-            coded[word] = self.coded(pieces[::-1])
+            for of in states:
+                del of[shared + 1 :]
+            extend(word, shared, states)
+            previous, coded[word] = word, codes[-1]
         return coded
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_WORDS.findall(t) for t in self.processor.normalize(texts)] if texts else []
-        new = self.learn(set().union(*cut) - self.words.keys())
         memo = self.words
+        new = self.learn({w for w in set().union(*cut) if w not in memo})
         found = [b"".join([new[w] if w in new else memo[w] for w in words]) for words in cut]
         for word, ids in new.items():
             self.held += 200 + 4 * len(word) + len(ids)
@@ -286,7 +322,7 @@ def encode_and_decode(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
-        for batch in small_batches(batches, limit=1 << 20):
+        for batch in small_batches(batches, limit=BATCH_BYTES):
             texts = texts_of(batch)
             found = model.encode([t.decode("utf-8", "replace") for t in texts])
             decoded = [model.decode(memoryview(f).cast("I")).encode("utf-8") for f in found]
