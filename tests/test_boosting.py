@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrid.config import DemandConfig
+from tidegrid.models.backtest import BOOSTED_SPACE, tune
 from tidegrid.models.boosting import BoostedTrees, boosting_presets, load_boosted
 
 NAMES = ("a", "b", "c")
@@ -145,3 +147,9 @@ def test_save_load_importance_and_odd_inputs(spark, rows, tmp_path):
     assert not constant.trees or not np.any(constant.trees[0].feature >= 0)
     with pytest.raises(ValueError):
         BoostedTrees(NAMES, growth="sideways").fit(rows)
+
+
+def test_search_has_both_penalties(rows):
+    space = BOOSTED_SPACE | {"max_depth": (2, 3, "int"), "iterations": (1, 2, "int")}
+    best, scores = tune(rows, lambda p: BoostedTrees(NAMES, val_size=0).with_params(**p), 2, 1, 30, space, config=DemandConfig())
+    assert {"l1", "l2"} <= set(best) and scores.count() == 2
