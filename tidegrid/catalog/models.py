@@ -5,6 +5,9 @@ Tree models have no SQL twin; their queries run few, shallow trees.
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -15,10 +18,10 @@ from tidegrid.functions.metrics import evaluate
 from tidegrid.models.autoregression import SeasonalAutoregression
 from tidegrid.models.backtest import Backtest, tune
 from tidegrid.models.boosting import BoostedTrees, boosting_presets
-from tidegrid.models.explain import permutation_importance
+from tidegrid.models.explain import mean_attribution, permutation_importance, tree_contributions, waterfall
 from tidegrid.models.plugin import per_series
 from tidegrid.models.rollout import roll_out
-from tidegrid.models.selector import ColumnForecast, LinearPerSeries, SeriesSelector, linear_candidates
+from tidegrid.models.selector import ColumnForecast, FittedLinear, LinearPerSeries, SeriesSelector, linear_candidates
 from tidegrid.models.smoothing import Smoothing
 from tidegrid.models.store import load_model, save_model
 from tidegrid.models.trees import TreeForecaster, load_trees, presets
@@ -29,6 +32,7 @@ from tidegrid.operators.splits import last_horizon, split_last_hours
 from tidegrid.plans.features import build_features
 from tidegrid.plans.prediction import forecast_all_zones, forecast_zone, score_last_hours
 from tidegrid.plans.training import NOT_FEATURES, compare_models
+from tidegrid.session import stored
 from tidegrid.sources.tables import log_run, run_metrics
 
 FEATURES = ("lag_1h", "lag_24h", "lag_168h", "rolling_mean_24h", "rolling_std_24h", "hour_of_day", "day_of_week")
@@ -118,16 +122,23 @@ def _best_cut(source: str) -> str:
         qualify row_number() over (partition by path order by round_even(gain * 1e6, 0) desc, o, c) = 1"""
 
 
-@query(
-    "m1_first_splits", "path:s feature:s threshold:d gain:d3 rows:i value:d", "candidates",
-    f"""with y as (select pickup_count as y, cast(hour(hour) as double) as f0, cast(isodow(hour) - 1 as double) as f1, naive_24 as f2 from candidates),
+_SPLIT_STEPS = f"""y as (select pickup_count as y, cast(hour(hour) as double) as f0, cast(isodow(hour) - 1 as double) as f1, naive_24 as f2 from candidates),
         x as materialized (select '' as path, round_even(((select avg(y) from y) - y) * 65536, 0) / 65536 as g, f0, f1, f2 from y),
         cuts as (select 0 as o, unnest(range(0, 23)) as c union all select 1, unnest(range(0, 6)) union all select 2, unnest(range(0, 4))),
         b0 as materialized ({_best_cut('x')}),
-        x1 as materialized (select case when list_extract([f0, f1, f2], o + 1) <= c then 'L' else 'R' end as path, x.g, f0, f1, f2 from x, b0),
+        x1 as materialized (select case when list_extract([f0, f1, f2], o + 1) <= c then 'L' else 'R' end as path, o as o1, x.g, f0, f1, f2 from x, b0),
         b1 as materialized ({_best_cut('x1')}),
-        x2 as (select x1.path || case when o is null then '' when list_extract([f0, f1, f2], o + 1) <= c then 'L' else 'R' end as path, x1.g
-            from x1 left join b1 on b1.path = x1.path),
+        x2 as (select x1.path as first, x1.path || case when o is null then '' when list_extract([f0, f1, f2], o + 1) <= c then 'L' else 'R' end as path,
+            x1.o1, b1.o as o2, x1.g from x1 left join b1 on b1.path = x1.path)"""
+
+
+def split_rows(t: Tables):
+    return t.candidates.withColumns({"hour_of_day": F.hour("hour").cast("double"), "day_of_week": F.weekday("hour").cast("double")})
+
+
+@query(
+    "m1_first_splits", "path:s feature:s threshold:d gain:d3 rows:i value:d", "candidates",
+    f"""with {_SPLIT_STEPS},
         names as (select unnest([0, 1, 2]) as o, unnest(['hour_of_day', 'day_of_week', 'naive_24']) as feature)
     select path, feature, cast(c as double) as threshold, gain6 as gain, ht as rows, 0e0 as value
         from (select * from b0 union all select * from b1) join names using (o)
@@ -135,9 +146,7 @@ def _best_cut(source: str) -> str:
     select path, null, null, 0e0, count(*), -0.5e0 * sign(sum(g)) * greatest(abs(sum(g)) - 2e0, 0) / (count(*) + 5e0) from x2 group by path""",
 )
 def _(t):
-    day = F.weekday("hour").cast("double")
-    rows = t.candidates.withColumns({"hour_of_day": F.hour("hour").cast("double"), "day_of_week": day})
-    nodes = SPLIT_SPEC.fit(rows).nodes(t.spark)
+    nodes = SPLIT_SPEC.fit(split_rows(t)).nodes(t.spark)
     above = nodes.select(F.col("node").alias("parent"), F.explode(F.array(F.struct("left", F.lit("L").alias("side")), F.struct(F.col("right").alias("left"), F.lit("R").alias("side")))).alias("s"))
     above = above.filter("s.left is not null").select("parent", F.col("s.left").alias("node"), F.col("s.side").alias("side"))
     grand = above.select(F.col("node").alias("parent"), F.col("side").alias("before"))
@@ -187,6 +196,31 @@ def _(t):
     return fitted.select("PULocationID", F.col("coef")[0].alias("intercept"), F.col("coef")[1].alias("ar1"))
 
 
+@query(
+    "m6_moving_average_fit", "Borough:s intercept:d4 ar1:d4 ma1:d4", "panel",
+    """with y as (select Borough, hour, cast(sum(pickup_count) as double) as y from panel where Borough is not null group by 1, 2),
+        z as (select Borough, hour, y - lag(y, 24) over (partition by Borough order by hour) as z from y),
+        l as materialized (select *, lag(z) over (partition by Borough order by hour) as x from z),
+        a as (select Borough, regr_intercept(z, x) as a, regr_slope(z, x) as b from l group by 1),
+        e as (select l.Borough, hour, z, x, z - a - b * x as e from l join a using (Borough)),
+        d as (select *, lag(e) over (partition by Borough order by hour) as s from e),
+        m as (select Borough, avg(z) as mz, avg(x) as mx, avg(s) as ms, covar_pop(z, x) as zx, covar_pop(z, s) as zs,
+            covar_pop(x, s) as xs, var_pop(x) as xx, var_pop(s) as ss from d where z is not null and x is not null and s is not null group by 1),
+        b as (select *, (zx * ss - zs * xs) / (xx * ss - xs * xs) as b1, (zs * xx - zx * xs) / (xx * ss - xs * xs) as b2 from m)
+    select Borough, mz - b1 * mx - b2 * ms as intercept, b1 as ar1, b2 as ma1 from b""",
+)
+def _(t):
+    regions = t.panel.filter("Borough is not null").groupBy("Borough", "hour").agg(F.sum("pickup_count").alias("pickup_count"))
+    spec = SeasonalAutoregression(order=1, seasonal_order=0, ma=1, long_order=1, config=replace(CONFIG, key="Borough"))
+    coef = lambda i, name: F.col("coef")[i].alias(name)
+    return spec.fit(regions).coefficients.select("Borough", coef(0, "intercept"), coef(1, "ar1"), coef(2, "ma1"))
+
+
+@query("m6_moving_average_forecast", "PULocationID:i hour:t step:i predicted:d")
+def _(t):
+    return SeasonalAutoregression(ma=1, seasonal_ma=1, config=CONFIG).fit(t.dense).forecast(t.dense, 24)
+
+
 @query("m7_trend_and_season", PREDICTION)
 def _(t):
     train, test = split_last_hours(t.dense, "hour", 168)
@@ -234,6 +268,33 @@ def _(t):
     return HOLT_WINTERS.fit(t.dense).forecast(t.dense, 24)
 
 
+#: The whole default grid of twelve points.
+WHOLE_GRID = Smoothing(config=CONFIG)
+
+
+@query(
+    "m8_whole_grid", "PULocationID:i alpha:d beta:d gamma:d sse:d4 level:d4 slope:d4", "dense",
+    """with recursive v as (select PULocationID, list(cast(pickup_count as double) order by hour) as vals from dense group by 1),
+        g as (select * from (select unnest([0.1e0, 0.3e0, 0.6e0]) as alpha), (select unnest([0.01e0, 0.1e0]) as beta),
+            (select unnest([0.05e0, 0.2e0]) as gamma)),
+        init as (select PULocationID, vals, alpha, beta, gamma, list_avg(vals[1:24]) as level,
+            (list_avg(vals[25:48]) - list_avg(vals[1:24])) / 24e0 as slope from v, g),
+        r as (
+            select PULocationID, alpha, beta, gamma, 24 as i, level, slope, list_transform(vals[1:24], lambda x: x - level) as season, 0e0 as sse from init
+            union all
+            select q.PULocationID, q.alpha, q.beta, q.gamma, q.i + 1, q.nl, q.beta * (q.nl - q.level) + (1 - q.beta) * q.slope,
+                list_concat(q.season[2:24], [q.gamma * (q.y - q.level - q.slope) + (1 - q.gamma) * q.season[1]]),
+                q.sse + pow(q.y - q.level - q.slope - q.season[1], 2)
+            from (select r.*, v.vals[r.i + 1] as y, r.alpha * (v.vals[r.i + 1] - r.season[1]) + (1 - r.alpha) * (r.level + r.slope) as nl
+                  from r join v on v.PULocationID = r.PULocationID where r.i < len(v.vals)) q),
+        e as (select *, row_number() over (partition by PULocationID order by i desc, sse, alpha, beta, gamma) as k
+            from (select PULocationID, alpha, beta, gamma, i, level, slope, sse from r))
+    select * from e where k = 1""",
+)
+def _(t):
+    return WHOLE_GRID.fit(t.dense).states
+
+
 @query("m8_damped_multiplicative", "PULocationID:i hour:t step:i predicted:d")
 def _(t):
     spec = Smoothing(
@@ -249,20 +310,29 @@ def _(t):
 
 
 def linear_fits(t: Tables):
-    """Three cheap base models: fixed columns of the feature table as predictions."""
-    as_model = lambda c: (lambda train: (lambda df: df.withColumn("prediction", F.col(c))))
-    return {"day": as_model("lag_24h"), "week": as_model("lag_168h"), "mean": as_model("rolling_mean_24h")}
+    """Three base models, least squares per series on different features; each fit is stored, as several frames read it."""
+    features = {"day": ("lag_24h", "lag_1h"), "week": ("lag_168h",), "mean": ("rolling_mean_24h", "rolling_mean_168h")}
+
+    def fit(names, train):
+        fitted = LinearPerSeries(names).fit(train)
+        return FittedLinear(fitted.spec, stored(fitted.coefficients, "base-model")).predict
+
+    return {name: partial(fit, names) for name, names in features.items()}
+
+
+def stored_split(t: Tables):
+    return split_last_hours(stored(featured(t), "features"), "hour", 168)
 
 
 @query("m10_weighted_ensemble", PREDICTION)
 def _(t):
-    train, test = split(t)
+    train, test = stored_split(t)
     return ensemble.WeightedEnsemble(linear_fits(t), 28, CONFIG).fit(train).predict(test)
 
 
 @query("m12_stacking_ensemble", PREDICTION)
 def _(t):
-    train, test = split(t)
+    train, test = stored_split(t)
     return ensemble.StackingEnsemble(linear_fits(t), "ridge", 3, 28, CONFIG).fit(train).predict(test)
 
 
@@ -332,6 +402,41 @@ _FIT = """select PULocationID, m, coalesce(regr_slope(y, x), 0) as b,
             case when regr_slope(y, x) is null then avg(y) else regr_intercept(y, x) end as a from l {} group by 1, 2"""
 
 
+@query(
+    "e14_tree_attribution", "feature:s importance:d", "candidates",
+    f"""with {_SPLIT_STEPS},
+        v as (select *, -0.5e0 * sign(sum(g) over w) * greatest(abs(sum(g) over w) - 2e0, 0) / (count(*) over w + 5e0) as value
+            from x2 window w as (partition by path)),
+        m as (select *, avg(value) over (partition by first) as below, avg(value) over () as top from v),
+        f as (select unnest([0, 1, 2]) as o, unnest(['hour_of_day', 'day_of_week', 'naive_24']) as feature)
+    select feature, avg(abs(case when o1 = o then below - top else 0e0 end + case when o2 = o then value - below else 0e0 end)) as importance
+    from m, f group by 1""",
+)
+def _(t):
+    rows = split_rows(t)
+    return mean_attribution(tree_contributions(rows, SPLIT_SPEC.fit(rows)), SPLIT_SPEC.features)
+
+
+@query(
+    "e14_tree_attribution_adds_up", "n_rows:i n_apart:i", "dense",
+    """select (select count(*) from dense where hour > (select max(hour) - interval 168 hour from dense)) as n_rows, 0 as n_apart""",
+)
+def _(t):
+    train, test = split(t)
+    spec = boosting_presets(feature_columns(train, NOT_FEATURES), **BOOSTING)[0]
+    fitted = spec.fit(train)
+    told = tree_contributions(fitted.predict(test), fitted)
+    total = sum((F.col(f"attr_{f}") for f in spec.features), F.col("attr_base"))
+    return told.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total - F.col("prediction")) > 1e-6).alias("n_apart"))
+
+
+@query("e15_tree_waterfall", "PULocationID:i hour:t prediction:d feature:s value:d")
+def _(t):
+    rows = split_rows(t)
+    fitted = SPLIT_SPEC.fit(rows)
+    return waterfall(tree_contributions(fitted.predict(rows), fitted), SPLIT_SPEC.features, "prediction", ["PULocationID", "hour"])
+
+
 @query(
     "m14_selector_predictions", "PULocationID:i hour:t best_model:s prediction:d", "candidates",
     f"""with {_LONG},

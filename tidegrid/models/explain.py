@@ -1,14 +1,17 @@
-"""What drives a model: permutation importance, linear attributions, dependence."""
+"""What drives a model: permutation importance, attributions of linear models and of trees, dependence."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.config import DEFAULT, DemandConfig
 from tidegrid.functions.metrics import rmse
+from tidegrid.models.boosting import FittedBoosting, Tree
 from tidegrid.operators.blocks import hour_index
 
 
@@ -81,6 +84,52 @@ def contributions(
     ).drop(*[f"__mean_{f}" for f in weights])
 
 
+def path_means(tree: Tree) -> np.ndarray:
+    """Mean value under each node of a tree, by the rows each leaf was grown from."""
+    rows, value = np.maximum(tree.rows, 0.0).astype(float), tree.value.astype(float).copy()
+    for i in range(len(value) - 1, -1, -1):  # children come after their parent
+        if tree.feature[i] >= 0:
+            a, b = tree.left[i], tree.right[i]
+            whole = rows[a] + rows[b]
+            value[i] = (rows[a] * value[a] + rows[b] * value[b]) / whole if whole else (value[a] + value[b]) / 2.0
+    return value
+
+
+def tree_contributions(df: DataFrame, model: FittedBoosting) -> DataFrame:
+    """Attributions of boosted trees, in the columns of ``contributions``, and ``attr_base``.
+
+    Each step of a row's path through a tree moves the mean of the rows that got there;
+    the move belongs to the feature the step asked for. ``attr_base`` (the model's mean
+    over the rows it was grown from) and all ``attr_<feature>`` add up to the prediction.
+    """
+    trees = [(t, path_means(t)) for t in model.trees]
+    features = model.spec.features
+    base = float(model.base + sum(m[0] for _, m in trees))
+
+    @F.pandas_udf("array<double>")
+    def shares(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for part in parts:
+            x = part.to_numpy(float)
+            moved, rows = np.zeros(x.shape), np.arange(len(x))
+            for tree, means in trees:
+                at = np.zeros(len(x), np.int64)
+                for _ in range(tree.depth):
+                    f = tree.feature[at]
+                    inner = f >= 0
+                    if not inner.any():
+                        break
+                    right = x[rows, np.maximum(f, 0)] > tree.threshold[at]  # a missing value is never greater
+                    after = np.where(inner, np.where(right, tree.right[at], tree.left[at]), at)
+                    np.add.at(moved, (rows[inner], f[inner]), (means[after] - means[at])[inner])
+                    at = after
+            yield pd.Series(list(moved))
+
+    with_shares = df.withColumn("__shares", shares(F.struct(*(F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)))))
+    return with_shares.withColumns(
+        {f"attr_{f}": F.col("__shares")[i] for i, f in enumerate(features)} | {"attr_base": F.lit(base)}
+    ).drop("__shares")
+
+
 def mean_attribution(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean absolute attribution per feature, largest first."""
     rows = [F.struct(F.lit(f).alias("feature"), F.avg(F.abs(f"attr_{f}")).alias("importance")) for f in features]

@@ -49,18 +49,67 @@ def unpack_moments(row: dict, k: int):
     return full[:size, :size], full[:size, size], float(full[size, size]), n
 
 
+def soft_descent(s: np.ndarray, t: np.ndarray, penalty: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """Minimum of b'sb / 2 - t'b + sum(penalty * |b|), one coordinate at a time."""
+    b = np.zeros(len(t))
+    for _ in range(rounds):
+        moved = 0.0
+        for j in np.flatnonzero(np.diag(s) > 0):
+            pull = t[j] - s[j] @ b + s[j, j] * b[j]
+            new = np.sign(pull) * max(abs(pull) - penalty[j], 0.0) / s[j, j]
+            moved = max(moved, abs(new - b[j]) * np.sqrt(s[j, j]))
+            b[j] = new
+        if moved <= 1e-9 * (1.0 + np.abs(t).max(initial=0.0)):
+            break
+    return b
+
+
+def sparse_members(xtx: np.ndarray, xty: np.ndarray, yty: float, n: int, ridge: np.ndarray, maybe: np.ndarray, strength: float) -> np.ndarray:
+    """Which of the columns ``maybe`` stay in the fit.
+
+    The other columns are projected out. Soft thresholds leave a few columns; of these
+    the weakest goes until each is larger than its own noise. Both thresholds are
+    ``strength`` times the noise, widened by the number of columns and of rows (as an
+    information criterion does), so that noise alone seldom brings a column.
+    """
+    free = np.setdiff1d(np.arange(len(xty)), maybe)
+    inner = np.linalg.pinv(xtx[np.ix_(free, free)] + np.diag(ridge[free]), hermitian=True)
+    through = xtx[np.ix_(maybe, free)] @ inner
+    s = xtx[np.ix_(maybe, maybe)] - through @ xtx[np.ix_(free, maybe)]
+    t = xty[maybe] - through @ xty[free]
+    rest = yty - xty[free] @ inner @ xty[free]
+    scale = np.sqrt(np.clip(np.diag(s), 0.0, None))
+    whole = rest - t @ np.linalg.pinv(s, hermitian=True) @ t
+    noise = np.sqrt(max(whole / max(n - len(xty), 1), 1e-12 * yty / max(n, 1)))
+    bar = strength * np.sqrt(2.0 * np.log(max(len(maybe), 2)) + np.log(max(n, 2)))
+    kept = np.flatnonzero(soft_descent(s, t, bar * noise * scale))
+    while len(kept):
+        spread = np.linalg.pinv(s[np.ix_(kept, kept)], hermitian=True)
+        size = np.abs(spread @ t[kept]) / (noise * np.sqrt(np.clip(np.diag(spread), 1e-300, None)))
+        weakest = int(size.argmin())
+        if size[weakest] >= bar:
+            break
+        kept = np.delete(kept, weakest)
+    return maybe[kept]
+
+
 def fit_groups(
     df: DataFrame,
     features: Sequence[str],
     target: str,
     by: Sequence[str] = (),
     penalties: Sequence[float] | float = 0.0,
+    sparse: Sequence[str] = (),
+    strength: float = 1.0,
 ) -> DataFrame:
     """Coefficients per group: ``coef`` = (constant, one per feature), ``n`` and ``sse``.
 
-    ``penalties`` is the ridge penalty of each feature; the constant has none.
+    ``penalties`` is the ridge penalty of each feature; the constant has none. The
+    features named in ``sparse`` only stay where they stand out from the noise (see
+    ``sparse_members``); the coefficient of one that goes is exactly 0.
     """
     k = len(features)
+    maybe = np.array([i + 1 for i, f in enumerate(features) if f in set(sparse)], dtype=int)
     ridge = [float(penalties)] * k if isinstance(penalties, (int, float)) else list(penalties)
     table = moment_table(df, features, target, by)
     keys = [f"{c} {table.schema[c].dataType.simpleString()}" for c in by]
@@ -72,7 +121,13 @@ def fit_groups(
                 if not row["n"]:
                     continue
                 xtx, xty, yty, n = unpack_moments(row, k)
-                beta = np.linalg.pinv(xtx + np.diag([0.0, *ridge]), hermitian=True) @ xty
+                penalty = np.array([0.0, *ridge])
+                used = np.arange(k + 1)
+                if len(maybe):
+                    members = sparse_members(xtx, xty, yty, n, penalty, maybe, strength)
+                    used = np.setdiff1d(used, np.setdiff1d(maybe, members))
+                beta = np.zeros(k + 1)
+                beta[used] = np.linalg.pinv(xtx[np.ix_(used, used)] + np.diag(penalty[used]), hermitian=True) @ xty[used]
                 sse = float(yty - 2 * beta @ xty + beta @ xtx @ beta)
                 rows.append((*[row[c] for c in by], n, [float(b) for b in beta], max(sse, 0.0)))
             yield pd.DataFrame(rows, columns=[*by, "n", "coef", "sse"])
