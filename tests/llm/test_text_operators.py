@@ -389,3 +389,52 @@ def test_pipeline_keeps_clean_documents(spark, docs, rows, tmp_path):
     none = docs.filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def secret_wrappings():
+    import base64
+    import bz2
+    import gzip
+    import zlib
+
+    line = b'password = "hunter2hunter2"'
+    plain = base64.b64encode(line).decode()
+    raw = zlib.compressobj(wbits=-15)
+    folded = base64.encodebytes(b"an ordinary opening sentence of some length, " + line + b" and some more text behind it, to fill lines").decode()
+    b64 = lambda data: base64.b64encode(data).decode()
+    return {
+        "path": f"see https://h.example/path/{plain} there",
+        "letters": f"see abc{plain} there",
+        "lines": f"see\n{folded}\nthere",
+        "indented lines": "see\n" + folded.replace("\n", "\r\n  ") + "\nthere",
+        "second gzip member": "see " + b64(gzip.compress(b"nothing in here") + gzip.compress(line)),
+        "second bz2 member": "see " + b64(bz2.compress(b"nothing in here") + bz2.compress(line)),
+        "utf-16": "see " + b64(line.decode().encode("utf-16")),
+        "utf-16 big": "see " + b64(line.decode().encode("utf-16-be")),
+        "binary in front": "see " + b64(b"\xff\x00" + line),
+        "raw deflate": "see " + b64(raw.compress(line) + raw.flush()),
+        "gzip after a path": "see /opt/" + b64(gzip.compress(line)),
+        "gzip in gzip": "see " + b64(gzip.compress(b"\x00\x01" + gzip.compress(line))),
+    }
+
+
+@pytest.mark.parametrize("how", list(secret_wrappings()))
+def test_secret_in_every_wrapping(how):
+    from tidegrid.llm.secrets import scan
+
+    text = secret_wrappings()[how]
+    base, spans, _, complete = scan(text)
+    assert complete and not [x for x in base if x[1] == 0]
+    inside = [(a, b) for a, kind, b in spans if kind == 0]
+    assert len(inside) >= 1
+    for a, b in inside:
+        assert 4 <= a < b <= len(text.rstrip()) and " there" not in text[a:b] and not text[a:b].startswith("see")
+
+
+def test_words_and_hashes_are_no_layers():
+    from tidegrid.llm.secrets import scan
+
+    words = "internationalization_of_everything/and_more+words " * 50 + "\nAbCdEfGhIjKlMnOpQrStUvWxYz\nnext line is text\n"
+    assert scan(words)[1] == []
+    long = "QUJD" * 200_000
+    assert scan(long)[3]

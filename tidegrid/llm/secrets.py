@@ -2,7 +2,11 @@
 
 Every text is scanned for three kinds of secrets. Then a worklist unwraps what the text
 contains: percent escapes, Unicode escapes, base64 runs, and compressed bytes in such
-runs. Every new layer is scanned as well and unwrapped in turn, until nothing new comes
+runs. A base64 run may be broken over lines and start inside a longer word or path, so
+its digits are read from each of the four phases; of bytes that are no clean text the
+printable stretches (ASCII, as bytes or as UTF-16) are layers, and all members of joined
+compressed streams are unpacked. Streams without a header (raw deflate) are found where
+they are the whole run. Every new layer is scanned as well and unwrapped in turn, until nothing new comes
 up; a layer that was already met at the same place is not unwrapped again, so quines
 end. Each character of a layer remembers the span of the text it came from, so all
 spans are those of the text as it was given (code points, end exclusive).
@@ -11,14 +15,13 @@ One pass over the documents without a shuffle.
 
 Defined cases: null and empty texts have no spans; a span found in several layers counts
 once; equal rows are scanned each for itself; an empty table gives no rows; other columns
-are ignored (``redact`` keeps them). Bytes that unpack to more than ``max_unpacked`` in
+are ignored (``redact`` keeps them); very long texts are scanned whole, like others. Bytes that unpack to more than ``max_unpacked`` in
 one document are left packed, and ``complete`` is false for it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -43,6 +46,15 @@ _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINE_END = re.compile(r"\r?\n[\x20\t]*")
+_LAST_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+_HEADERS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|BZh[1-9]\x17rE8P\x90|\xfd7zXZ\x00")
+#: Shorter stretches can hold no secret of any kind: the shortest is ``token=`` and six characters.
+_STRETCHES = (
+    (1, 0, re.compile(rb"[\t\r\n\x20-\x7e]{12,}")),
+    (2, 0, re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){12,}")),
+    (2, 1, re.compile(rb"(?:\x00[\t\r\n\x20-\x7e]){12,}")),
+)
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
@@ -141,19 +153,18 @@ class _Budget:
         self.left, self.complete = left, True
 
 
-def _unpacked(data: bytes, budget: _Budget) -> bytes | None:
-    """One compressed layer less, or None if the bytes aren't compressed."""
+def _box(data: bytes):
+    """The decompressor for bytes that start with a header."""
+    if data[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if data[:1] == b"\x78":
+        return zlib.decompressobj()
+    return bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor(memlimit=128 << 20)
+
+
+def _member(box, data: bytes, budget: _Budget) -> bytes | None:
+    """What one member unpacks to; None if the bytes are no such member or unpack to too much."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            box = zlib.decompressobj(31)
-        elif len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-            box = zlib.decompressobj()
-        elif data[:3] == b"BZh":
-            box = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            box = lzma.LZMADecompressor(memlimit=128 << 20)
-        else:
-            return None
         out = box.decompress(data, budget.left + 1)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
         return None
@@ -164,38 +175,98 @@ def _unpacked(data: bytes, budget: _Budget) -> bytes | None:
     return out
 
 
+def _unpacked(data: bytes, budget: _Budget) -> list[bytes]:
+    """What the compressed streams in the bytes unpack to; members that follow each other are joined."""
+    found, end, at = [], -1, 0
+    while (m := _HEADERS.search(data, at)) is not None:
+        box = _box(data[m.start() : m.start() + 8])
+        out = _member(box, data[m.start() :], budget)
+        if out is None:
+            at = m.start() + 1
+            continue
+        if m.start() == end:
+            found[-1] += out
+        else:
+            found.append(out)
+        at = end = len(data) - len(box.unused_data)
+    if not found and len(data) > 8:
+        box = zlib.decompressobj(-15)
+        out = _member(box, data, budget)
+        if out and box.eof and not box.unused_data and _clean(out) is not None:
+            found.append(out)
+    return found
+
+
+def _clean(data: bytes) -> str | None:
+    """The bytes as UTF-8 text, None if they are not that or hold control characters."""
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return None if _CONTROL.search(text) else text
+
+
+def _readable(data: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts in the bytes, with the first and last byte (exclusive) of each character."""
+    text = _clean(data)
+    if text is not None:
+        sizes = np.ones(len(text), np.int64) if len(text) == len(data) else np.array([len(c.encode("utf-8")) for c in text], np.int64)
+        last = np.cumsum(sizes)
+        yield text, last - sizes, last
+        return
+    for width, skip, pattern in _STRETCHES:
+        for m in pattern.finditer(data):
+            first = np.arange(m.start(), m.end(), width)
+            yield m.group()[skip::width].decode("ascii"), first, first + width
+
+
+def _base64_runs(text: str) -> Iterator[tuple[str, np.ndarray, int]]:
+    """Runs of base64 digits (lines of a broken run joined), the place of each digit and the end of the run."""
+    at = 0
+    while (m := _BASE64.search(text, at)) is not None:
+        parts, places, at = [], [], m.start()
+        while m is not None:
+            digits = m.group().rstrip("=")
+            parts.append(digits)
+            places.append(np.arange(m.start(), m.start() + len(digits)))
+            at = m.end()
+            gap = _LINE_END.match(text, at) if len(digits) >= 16 and len(digits) == m.end() - m.start() else None
+            m = _LAST_LINE.match(text, gap.end()) if gap else None
+        yield "".join(parts), np.concatenate(places), at
+        if len(parts) > 1:  # the next line may be no part of the run: each line also for itself
+            for digits, place in zip(parts, places):
+                if len(digits) >= 16:
+                    yield digits, place, int(place[-1]) + 1
+
+
 def _base64_layers(layer: Layer, budget: _Budget) -> Iterator[Layer]:
     old_starts, old_ends = layer.maps()
-    for m in _BASE64.finditer(layer.text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            data = base64.b64decode(run.translate(_SAFE) + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        packed, seen = False, set()
-        while (digest := hashlib.sha256(data).digest()) not in seen:
-            seen.add(digest)
-            inner = _unpacked(data, budget)
-            if inner is None:
+    for digits, places, end in _base64_runs(layer.text):
+        for phase in range(4):
+            run = digits[phase:]
+            if len(run) % 4 == 1:
+                run = run[:-1]
+            if len(run) < 12:
                 break
-            packed, data = True, inner
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not text or _CONTROL.search(text):
-            continue
-        whole = old_starts[m.start()], old_ends[m.end() - 1]
-        if packed:
-            yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
-            continue
-        sizes = np.ones(len(text), np.int64) if len(text) == len(data) else np.array([len(c.encode("utf-8")) for c in text])
-        last = np.cumsum(sizes)
-        first = last - sizes
-        # Byte j holds the bits from 8 j; a base64 digit holds six.
-        yield Layer(text, old_starts[m.start() + first * 8 // 6], old_ends[m.start() + (last * 8 + 5) // 6 - 1])
+            data = base64.b64decode(run.translate(_SAFE) + "=" * (-len(run) % 4))
+            for text, first, last in _readable(data):
+                if text:
+                    # Byte j holds the bits from 8 j; a base64 digit holds six.
+                    yield Layer(text, old_starts[places[phase + first * 8 // 6]], old_ends[places[phase + (last * 8 + 5) // 6 - 1]])
+            whole = old_starts[places[phase]], old_ends[end - 1]
+            seen, work = set(), _unpacked(data, budget)
+            opened = bool(work)
+            while work:
+                inner = work.pop()
+                if (digest := hashlib.sha256(inner).digest()) in seen:
+                    continue
+                seen.add(digest)
+                work += _unpacked(inner, budget)
+                for text, _, _ in _readable(inner):
+                    if text:
+                        yield Layer(text, np.full(len(text), whole[0]), np.full(len(text), whole[1]))
+            if phase == 0 and (opened and _HEADERS.match(data) or _clean(data) is not None):
+                break  # the run is what it seems: the other phases are noise
 
 
 _SAFE = str.maketrans("-_", "+/")
