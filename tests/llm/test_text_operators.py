@@ -13,6 +13,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegrid.llm import language, language_model, quality, secrets
 from tidegrid.llm.exact_dedup import document_names, drop_duplicates, duplicate_groups
@@ -124,7 +125,11 @@ def test_exact_groups(docs, rows, empty):
         known = [m for m in members if m is not None]
         assert r.group_size == len(members) and r.keep_id == (min(known) if known else None)
     assert sum(r.kept for r in found) == len(groups)
-    assert drop_duplicates(docs).count() == len(groups) and drop_duplicates(docs).columns == docs.columns
+    stay = drop_duplicates(docs)
+    assert stay.columns == docs.columns
+    assert sorted(norm(r.text) for r in stay.collect()) == sorted(groups)
+    known = {norm(r.text): r.doc_id for r in stay.collect()}
+    assert all(known[t] == min((m for m in g if m is not None), default=None) for t, g in groups.items())
     assert duplicate_groups(empty).count() == 0 and drop_duplicates(empty).count() == 0
 
 
@@ -245,6 +250,9 @@ def test_language_profiles(docs, rows, empty):
             assert r.lang_pred == "und" and r.score == 0
     kept = language.drop_unidentified(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 4
+    told = {r.doc_id: r.lang_pred for r in got}
+    blank = language.drop_unidentified(docs.withColumn("lang", F.when(F.col("doc_id") >= 5, F.col("lang")))).filter("doc_id < 5").collect()
+    assert {r.doc_id for r in blank} == set(range(5)) and all(r.lang is not None and r.lang in told.values() for r in blank)
     assert language.identify(empty).count() == 0 and language.drop_unidentified(empty).count() == 0
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import stash
+from tidegrid.llm.near_dedup import numbered
 
 BLOCK_BYTES = 4096
 
@@ -96,14 +97,14 @@ def duplicate_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 
 
 def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that stay, all columns as they were.
+    """The documents that stay, all columns as they were: of equal texts the first row with the smallest doc_id.
 
-    Equal texts are told apart by doc_id; where a doc_id repeats, rows of the same text
-    count once, and the rows of a doc_id with different texts are all judged.
+    Rows are numbered once and judged by number, so a doc_id may repeat. Only the numbers
+    of the rows that go meet the texts again. A null doc_id comes after all others.
     """
-    groups = duplicate_groups(docs, block_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha_of", F.sha2(F.encode(normalised(F.col("text")), "UTF-8"), 256))
-    stay = keyed.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha_of") == F.col("_sha")), "left_semi")
-    # Rows that repeat a doc_id with an equal text: one of them.
-    unique = stay.groupBy("doc_id", "_sha_of").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
-    return (stay if unique else stay.dropDuplicates(["doc_id", "_sha_of"])).drop("_sha_of")
+    given = {c: f"given_{i}" if c == "row" else c for i, c in enumerate(docs.columns)}
+    rows = numbered(docs.withColumnsRenamed(given))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = duplicate_groups(rows.select(who.alias("doc_id"), "text"), block_bytes)
+    gone = stash(groups.filter(~F.col("kept")).select(F.col("doc_id")["row"].alias("row")), "gone")
+    return rows.join(gone, "row", "left_anti").select(*(F.col(f"`{now}`").alias(c) for c, now in given.items()))

@@ -184,8 +184,13 @@ def identify(docs: DataFrame, size: int = PROFILE_SIZE, folds: int = 4, held: in
 
 
 def drop_unidentified(docs: DataFrame, size: int = PROFILE_SIZE, folds: int = 4, held: int = 2) -> DataFrame:
-    """The documents whose language could be told, all columns as they were; texts without a letter go."""
+    """The documents whose language could be told; texts without a letter go.
+
+    A null ``lang`` takes the language that was told; all other values stay as they were.
+    """
     profiles = learn_profiles(docs.filter(remainder_of_id(F.col("doc_id"), folds) != held), size)
     fields, packed = docs.columns, F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     told = predict_languages(docs.select(packed.alias("row"), F.col("text")), profiles, size)
-    return told.filter(F.col("lang_pred") != UNKNOWN).select(*(F.col("row")[c].alias(c) for c in fields))
+    return told.filter(F.col("lang_pred") != UNKNOWN).select(
+        *((F.coalesce(F.col("row")[c], "lang_pred") if c == "lang" and docs.schema[c].dataType == T.StringType() else F.col("row")[c]).alias(c) for c in fields)
+    )
