@@ -299,6 +299,56 @@ def test_discriminant_is_a_difference_of_log_densities():
     assert np.allclose(model.score(at), 1 / (1 + np.exp(density(x[0]) - density(x[1]))), atol=1e-6)
 
 
+def test_discriminant_of_very_many_labels():
+    rng = np.random.default_rng(1)
+    plain = {0: rng.normal(0, 1, (400, 3)), 1: rng.normal(1, 2, (400, 3))}
+    wide = {c: np.c_[v, np.full(len(v), 0.3), v[:, 0] + v[:, 1]] for c, v in plain.items()}  # a constant one, and a sum of others
+    centre = np.vstack(list(wide.values())).mean(axis=0)
+    ones = {c: np.c_[np.ones(len(v)), v - centre] for c, v in wide.items()}
+    for times in (1, 1e6, 1e8):
+        model = quality.Discriminant({c: times * v.T @ v for c, v in ones.items()}, centre=centre)
+        score = {c: model.score(v) for c, v in wide.items()}
+        assert all(np.isfinite(s).all() for s in score.values()) and score[1].mean() > score[0].mean() + 0.3
+
+
+def test_learning_finds_the_moments_of_each_class(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(50, 1, (300, quality.WIDTH)) * np.arange(1, quality.WIDTH + 1)
+    label = rng.integers(0, 2, 300)
+    x[label == 1] += 1
+    rows = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(label, x)], "label int, x array<double>").repartition(3)
+    model = quality.learn(rows, prior_rows=0)
+    for c, (mean, inverse, _, prior) in model.classes.items():
+        part = x[label == c]
+        assert np.allclose(mean + model.centre, part.mean(axis=0)) and prior == pytest.approx(math.log(len(part) / 300))
+        assert np.allclose(np.linalg.inv(inverse) @ np.linalg.inv(inverse).T, np.cov(part.T, bias=True), atol=1e-5)
+
+
+@pytest.mark.parametrize("percent", [40, 60, 95])
+def test_near_groups_at_other_limits(spark, percent):
+    rng = random.Random(percent)
+    every = []
+    for pair in range(40):  # pairs on both sides of the limit
+        words = [f"p{pair}w{i}" for i in range(100)]
+        same = min(max(round(200 * percent / (100 + percent)) + rng.randint(-6, 6), 4), 100)
+        every += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[:same] + [f"q{pair}w{i}" for i in range(100 - same)]))]
+    got = near_groups(spark.createDataFrame(every, "doc_id long, text string"), 1, percent).collect()
+    want = brute_near([(d, t, *[None] * 5) for d, t in every], 1, percent)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+    assert 40 < len({w[2] for w in want}) < 80  # some pairs are linked, some are not
+
+
+def test_near_limits():
+    from tidegrid.llm.near_dedup import plan_for, sign_limit
+
+    assert plan_for(80) == (14, 3) and sign_limit(80, 84) == 45
+    for percent in (10, 40, 60, 79):
+        m, a = plan_for(percent)
+        assert (1 - (1 - (percent / 100) ** a) ** m) ** 2 >= 0.9999
+    with pytest.raises(ValueError):
+        plan_for(0)
+
+
 def test_language_model_contract(docs, rows, empty):
     options = dict(vocabulary=6, table=12, one_in=2, worker_tokens=20_000)
     got = sorted(language_model.score_documents(docs, **options).collect(), key=lambda r: key([r.doc_id]))

@@ -21,8 +21,9 @@ intersection of their sets has at least ``percent`` hundredths of the union.
   by chance less than once in 10^7), then confirmed on the full sets of 64-bit shingle
   hashes.
 
-A pair at the limit of 0.8 shares a key with probability 0.9999 (m = 14, a = 3), more
-similar pairs with more.
+A pair at the limit shares a key with probability 0.9999 at least, more similar pairs with
+more: m = 14 and a = 3 from 0.8 on, and numbers made for the limit below it (``plan_for``).
+The lower the limit, the more keys a document has.
 
 Defined cases: null, empty and white-space texts have no shingles and no links; texts
 with fewer words than a shingle are one shingle; rows with equal doc_ids are separate
@@ -32,6 +33,7 @@ rows; null doc_ids are ignored in the smallest id of a component unless it has n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -48,9 +50,8 @@ HALF_KEYS = 14
 HALF_KEY_HASHES = 3
 SHINGLE_WORDS = 5
 PERCENT = 80
-#: Bits (of two for each min-hash) in which a pair may differ to be compared in full:
-#: about six standard deviations above the mean at a similarity of 0.8.
-SIGN_LIMIT = 45
+#: Probability with which a pair at the limit may share no key.
+MISSED = 1e-4
 #: Bound of the word memo in one task.
 MEMO_WORDS = 400_000
 
@@ -67,6 +68,27 @@ class _WordHashes(dict):
         return value
 
 
+def plan_for(percent: int) -> tuple[int, int]:
+    """Half keys and hashes of each for a limit: the longest half keys that need no more than 24, or single hashes."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is {percent}, not 1 to 100")
+    if percent >= PERCENT:
+        return HALF_KEYS, HALF_KEY_HASHES
+    for a in (3, 2, 1):
+        # Both collections have to agree somewhere: (1 - miss) ** 2 >= 1 - MISSED.
+        m = math.ceil(math.log(1 - math.sqrt(1 - MISSED)) / math.log(1 - (percent / 100) ** a))
+        if m <= 24 or a == 1:
+            return m, a
+
+
+def sign_limit(percent: int, hashes: int) -> int:
+    """Bits (of two for each min-hash) in which a pair may differ to be compared in full: six
+    standard deviations above the mean at the limit (at 0.8 for limits above). Two bits of
+    min-hashes that differ have one difference on average, and its square is 1.5."""
+    differ = 1 - min(percent, PERCENT) / 100
+    return math.ceil(hashes * differ + 6 * math.sqrt(hashes * (1.5 * differ - differ**2)))
+
+
 def shingle_hashes(words: list[bytes], width: int, known: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a word list."""
     if not words:
@@ -183,11 +205,11 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def _alike(x: str, y: str, percent: int, signs: int) -> Column:
+def _alike(x: str, y: str, percent: int, signs: int, limit: int) -> Column:
     """Sizes and sign bits allow the similarity."""
     apart = reduce(lambda s, k: s + F.bit_count(F.col(f"{x}.signs")[k].bitwiseXOR(F.col(f"{y}.signs")[k])), range(signs), F.lit(0))
     n, o = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    return (F.least(n, o) * 100 >= F.greatest(n, o) * percent) & (apart <= SIGN_LIMIT)
+    return (F.least(n, o) * 100 >= F.greatest(n, o) * percent) & (apart <= limit)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,14 +241,19 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(several.select("key"), "key", "left_semi")
 
 
-def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, m: int = HALF_KEYS, a: int = HALF_KEY_HASHES) -> DataFrame:
-    """doc_id, n_shingles, set_id (rows with equal sets), component_id, kept for every document."""
+def near_groups(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, m: int | None = None, a: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, set_id (rows with equal sets), component_id, kept for every document.
+
+    ``m`` half keys of ``a`` min-hashes in each collection; both follow the limit unless given.
+    """
     return groups_of_numbered(numbered(docs.select("doc_id", F.col("text").cast("string").alias("text"))), width, percent, m, a).drop("row")
 
 
-def groups_of_numbered(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, m: int = HALF_KEYS, a: int = HALF_KEY_HASHES) -> DataFrame:
+def groups_of_numbered(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, m: int | None = None, a: int | None = None) -> DataFrame:
     """As ``near_groups``, with ``row``, for a stored table that has the columns row, doc_id and text."""
-    signs = -(-2 * 2 * m * a // 64)
+    planned = plan_for(percent)
+    m, a = m or planned[0], a or planned[1]
+    signs, limit = -(-2 * 2 * m * a // 64), sign_limit(percent, 2 * m * a)
     known = stash(sketches(docs, width, m, a), "sketches")
     sets_of = known.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"))
     rows = stash(known.select("row", "doc_id", "n_shingles", "d1", "d2").join(sets_of, ["d1", "d2"], "left").select("row", "doc_id", "n_shingles", "node"), "rows")
@@ -250,7 +277,7 @@ def groups_of_numbered(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     stars = members.filter("place <> centre").select(F.col("centre").alias("one"), F.col("place").alias("two")).distinct()
     stars = stars.join(sketch.select(F.col("place").alias("one"), F.struct("n_shingles", "signs").alias("x")), "one")
     stars = stars.join(sketch.select(F.col("place").alias("two"), F.struct("n_shingles", "signs").alias("y")), "two")
-    stars = stash(stars.filter(_alike("x", "y", percent, signs)).select("one", "two"), "stars")
+    stars = stash(stars.filter(_alike("x", "y", percent, signs, limit)).select("one", "two"), "stars")
     roots = stash(components(_confirmed(stars, sets, percent)), "roots")
 
     labelled = members.join(roots.select(F.col("node").alias("place"), "root"), "place", "left").select("key", "place", F.coalesce("root", "place").alias("root"))
@@ -262,7 +289,7 @@ def groups_of_numbered(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int
     order = (F.col("x.n_shingles") < F.col("y.n_shingles")) | ((F.col("x.n_shingles") == F.col("y.n_shingles")) & (F.col("x.node") < F.col("y.node")))
     most = F.least(F.col("x.n_shingles") - F.col("x.at"), F.col("y.n_shingles") - F.col("y.at")) + 1
     enough = most * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & order & enough & _alike("x", "y", percent, signs))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & order & enough & _alike("x", "y", percent, signs, limit))
     met = met.select(F.least("x.node", "y.node").alias("one"), F.greatest("x.node", "y.node").alias("two")).distinct()
     met = stash(met.join(stars, ["one", "two"], "left_anti"), "met")
     if not met.isEmpty():

@@ -3,11 +3,14 @@
 Every document becomes a short list of transformed statistics of its whole text. Each
 class has a mean and a covariance; the covariances are shrunk towards the pooled one and
 that one towards its diagonal, by amounts that fall with the number of labelled rows. A
-score is the difference of the two log-densities (Mahalanobis distances by triangular
-solves with the Cholesky factors, kept for all rows) through the logistic function.
+score is the difference of the two log-densities (Mahalanobis distances by the
+inverse Cholesky factors, kept for all rows) through the logistic function. The shrinkage
+never falls below a floor, so a statistic that is constant or follows from others is no harm
+at any number of labels.
 
-Learning needs only sums of values and of products of values: they are summed by Spark,
-and one row per class and pair of statistics reaches the driver, whatever the input.
+Learning needs only sums of values and of products of values around their common mean (so
+that no digits are lost): they are summed by Spark, and one row per class and pair of
+statistics reaches the driver, whatever the input.
 
 Defined cases: null and empty texts have all statistics of an empty text and are scored
 like any other; repeated labels of one document count as one (the larger); null labels
@@ -36,6 +39,8 @@ from tidegrid.llm.language import remainder_of_id
 THRESHOLD = 0.3
 #: Label rows that weigh as much as the shrinkage target, for each statistic.
 PRIOR_ROWS = 2.0
+#: Least weight of the shrinkage targets, which counts from some 40,000 labelled rows on.
+LEAST_SHRINKAGE = 1e-3
 _ENDS = re.compile(rb"[.!?][\s]")
 _KINDS = np.zeros((6, 256), bool)
 for _i, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" \t\n\v\f\r", b".,;:'\"-!?()", b"")):
@@ -97,8 +102,9 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 class Discriminant:
     """Two Gaussians with cached Cholesky factors."""
 
-    def __init__(self, sums: dict[int, np.ndarray], prior_rows: float = PRIOR_ROWS):
-        """``sums``: per class the summed outer products of (1, x)."""
+    def __init__(self, sums: dict[int, np.ndarray], prior_rows: float = PRIOR_ROWS, centre: np.ndarray | None = None):
+        """``sums``: per class the summed outer products of (1, x - centre)."""
+        self.centre = 0.0 if centre is None else centre
         count = {c: s[0, 0] for c, s in sums.items()}
         total = sum(count.values())
         self.share = (count.get(1, 0.0) / total) if total else 0.5
@@ -108,22 +114,26 @@ class Discriminant:
         scatter = {c: s[1:, 1:] - np.outer(s[0, 1:], s[0, 1:]) / s[0, 0] for c, s in sums.items()}
         pooled = sum(scatter.values()) / total
         width = len(pooled)
-        weight = prior_rows * width / (prior_rows * width + total)
+        least = LEAST_SHRINKAGE if prior_rows else 0.0
+        weight = max(prior_rows * width / (prior_rows * width + total), least)
         pooled = (1 - weight) * pooled + weight * np.diag(np.diag(pooled)) + 1e-6 * np.eye(width)
         for c, s in sums.items():
-            weight = prior_rows * width / (prior_rows * width + count[c])
+            weight = max(prior_rows * width / (prior_rows * width + count[c]), least)
             root = np.linalg.cholesky((1 - weight) * scatter[c] / count[c] + weight * pooled)
             self.classes[c] = s[0, 1:] / s[0, 0], np.linalg.inv(root), 2 * np.log(np.diag(root)).sum(), math.log(count[c] / total)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.classes:
             return np.full(len(x), self.share)
+        x = x - self.centre
         density = {c: prior - 0.5 * (spread + (((x - mean) @ inverse.T) ** 2).sum(axis=1)) for c, (mean, inverse, spread, prior) in self.classes.items()}
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
 
 
 def learn(rows: DataFrame, prior_rows: float = PRIOR_ROWS) -> Discriminant:
-    """Fit from rows (label 0 or 1, x)."""
+    """Fit from rows (label 0 or 1, x): the mean of each statistic first, then products around it."""
+    means = rows.select(F.posexplode("x").alias("at", "value")).groupBy("at").agg(F.avg("value").alias("mean")).orderBy("at").collect()  # 20 rows
+    centre = np.array([r["mean"] for r in means]) if means else np.zeros(WIDTH)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {c: np.zeros((WIDTH + 1, WIDTH + 1)) for c in (0, 1)}
@@ -131,7 +141,7 @@ def learn(rows: DataFrame, prior_rows: float = PRIOR_ROWS) -> Discriminant:
             if not batch.num_rows:
                 continue
             label = batch.column(0).to_numpy(zero_copy_only=False)
-            x = np.array(batch.column(1).to_pylist())
+            x = np.array(batch.column(1).to_pylist()) - centre
             x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
             for c in sums:
                 part = x[label == c]
@@ -145,7 +155,7 @@ def learn(rows: DataFrame, prior_rows: float = PRIOR_ROWS) -> Discriminant:
     sums = {}
     for r in summed.groupBy("label", "at").agg(F.sum("total").alias("total")).collect():  # 2 x 21 x 21 rows
         sums.setdefault(r.label, np.zeros((WIDTH + 1) ** 2))[r.at] = r.total
-    return Discriminant({c: s.reshape(WIDTH + 1, WIDTH + 1) for c, s in sums.items()}, prior_rows)
+    return Discriminant({c: s.reshape(WIDTH + 1, WIDTH + 1) for c, s in sums.items()}, prior_rows, centre)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
