@@ -3,12 +3,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidegrid.catalog.base import Tables
 from tidegrid.config import DemandConfig
 from tidegrid.functions.calendar import add_calendar_features, add_holiday_features, holiday_calendar, join_holidays
 from tidegrid.functions.seasonal import add_fourier_features
 from tidegrid.operators.encoding import add_label_codes, add_target_encoding
-from tidegrid.operators.panel import attach_zones, clean_trips, dense_grid, hourly_counts
+from tidegrid.operators.panel import attach_zones, clean_trips, dense_grid, hourly_counts, recent_grid
 from tidegrid.operators.series import add_history_features, add_lag_features, add_rolling_features
+from tidegrid.operators.splits import last_horizon
 
 CONFIG = DemandConfig()
 
@@ -127,3 +129,24 @@ def test_live_features_equal_the_batch_features_over_several_batches(spark, tmp_
     assert got.count() == want.count() == 3 * 230
     rounded = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in ((*(str(v) if i < 2 else (-1e9 if v is None else v) for i, v in enumerate(r)),) for r in df.select("PULocationID", "hour", *[c for c in got.columns if c not in ("PULocationID", "hour")]).collect()))
     assert rounded(got) == rounded(want)
+
+
+def test_recent_grid_is_the_end_of_the_dense_grid(spark):
+    times = ["2024-01-01 05:10:00", "2024-01-02 00:59:59", "2024-01-02 07:00:00", "2024-01-02 07:30:00"]
+    trips = spark.createDataFrame([(k, t) for k, t in zip((1, 2, 2, 2), times)], "PULocationID int, t string").select(
+        "PULocationID", F.col("t").cast("timestamp").alias("pickup_dt")
+    )
+    whole = sorted(dense_grid(hourly_counts(trips)).collect())
+    for hours in (1, 8, 20, 500):  # key 1 has no trip in the shorter ones, the longest begins before the first trip
+        last = sorted({r.hour for r in whole})[-hours:]
+        assert sorted(recent_grid(trips, hours).collect()) == [r for r in whole if r.hour >= last[0]]
+    assert recent_grid(trips.filter("false"), 5).count() == 0
+
+
+def test_last_hours_are_cut_below_the_windows(spark):
+    """The forecast of the last day counts no trip before the week it looks back to."""
+    table = Tables(spark, "/root/testdata/sf0.001")
+    assert sorted(table.last_forecast(24).collect()) == sorted(last_horizon(table.forecast, "hour", 24).collect())
+    plan = table.last_candidates(24)._jdf.queryExecution().optimizedPlan().toString()
+    window, bound = plan.index("Window ["), plan.rindex("pickup_dt")
+    assert window < bound and "scalar-subquery" in plan[window:]

@@ -11,7 +11,9 @@ CHOSEN = [
     "top_zones_by_rolling_mean", "preprocess_trips", "w2_rolling_features", "w15_series_folds", "f6_holiday_features",
     "a16_region_zone_rollup", "a27_drift", "u2_model_agreement", "m14_best_model_per_zone", "e11_acf",
     "m8_holt_winters_fit", "t4_live_hourly_counts", "t5_live_trailing_day", "t6_ring_features", "m14_selector_predictions",
-    "m1_first_splits", "s14_stored_linear_model", "s14_stored_selector",
+    "m1_first_splits", "s14_stored_linear_model", "s14_stored_selector", "s3_zone_lookup",
+    "s4_absent_sources", "s5_missing_months", "s11_stored_features", "s16_sales_tables", "p17_feature_list", "a15_hot_cold", "p27_residual_band",
+    "p28_global_band",
 ]
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.config import DemandConfig
 from tidegrid.models.naive import CANDIDATES, candidate_columns, long_predictions
-from tidegrid.operators.panel import attach_zones, dense_grid, hourly_counts
+from tidegrid.operators.panel import attach_zones, dense_grid, hourly_counts, recent_grid
+from tidegrid.operators.splits import last_horizon
 from tidegrid.session import pin_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +21,15 @@ ORACLES: dict[str, str] = {}
 CONFIG = DemandConfig(months=("2024-01",))
 
 
+def _named_forecast(candidates: DataFrame) -> DataFrame:
+    return candidates.select(
+        "PULocationID", "Borough", "zone_name", "service_zone", "hour",
+        F.col("pickup_count").cast("double").alias("actual"),
+        F.col("mean_24").alias("predicted"),
+        (F.col("pickup_count") - F.col("mean_24")).alias("residual"),
+    )
+
+
 class Tables:
     """The reference's inputs made from the given tables."""
 
@@ -82,6 +92,19 @@ class Tables:
         """Panel with the three no-fit forecasts, rows that have all of them."""
         return candidate_columns(self.panel, CONFIG).dropna(subset=list(CANDIDATES))
 
+    def last_candidates(self, hours: int) -> DataFrame:
+        """The last ``hours`` of ``candidates``. The panel is cut to these and the week
+        that the forecasts look back, before any window."""
+        panel = attach_zones(recent_grid(self.trips, hours + 168, CONFIG), self.zones, CONFIG)
+        complete = candidate_columns(panel, CONFIG).dropna(subset=list(CANDIDATES))
+        return last_horizon(complete, "hour", hours, of=self.trips.select(F.date_trunc("hour", "pickup_dt").alias("hour")))
+
+    def last_predictions(self, hours: int) -> DataFrame:
+        return long_predictions(self.last_candidates(hours), CANDIDATES, CONFIG)
+
+    def last_forecast(self, hours: int) -> DataFrame:
+        return _named_forecast(self.last_candidates(hours))
+
     @cached_property
     def predictions(self) -> DataFrame:
         return long_predictions(self.candidates, CANDIDATES, CONFIG)
@@ -89,12 +112,7 @@ class Tables:
     @cached_property
     def forecast(self) -> DataFrame:
         """One model's forecast with names: actual, predicted, residual."""
-        return self.candidates.select(
-            "PULocationID", "Borough", "zone_name", "service_zone", "hour",
-            F.col("pickup_count").cast("double").alias("actual"),
-            F.col("mean_24").alias("predicted"),
-            (F.col("pickup_count") - F.col("mean_24")).alias("residual"),
-        )
+        return _named_forecast(self.candidates)
 
     @cached_property
     def daily_sales(self) -> DataFrame:

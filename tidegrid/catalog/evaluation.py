@@ -128,7 +128,7 @@ def _(t):
     where hour > (select max(hour) - interval 24 hour from predictions) group by 1, 2""",
 )
 def _(t):
-    rows = splits.last_horizon(t.predictions, "hour", 24)
+    rows = t.last_predictions(24)
     return metrics.evaluate(rows, "actual", "predicted", by=["PULocationID", "model"])
 
 

@@ -11,13 +11,11 @@ from tidegrid.operators import operations as op
 from tidegrid.operators import quality
 from tidegrid.operators import ranking
 from tidegrid.operators.series import drop_tail, tail
-from tidegrid.operators.splits import last_horizon
 
 
 def last_day(t):
     """The last 24 hours, predicted by the day before, as whole numbers."""
-    rows = last_horizon(t.candidates, "hour", 24)
-    return rows.select(
+    return t.last_candidates(24).select(
         "PULocationID", "zone_name", "Borough", "hour",
         F.col("pickup_count").alias("actual"), metrics.round_count("naive_24").alias("predicted"),
     )
@@ -171,7 +169,7 @@ def _(t):
     from z, q""",
 )
 def _(t):
-    zones = last_horizon(t.forecast, "hour", 24).groupBy("PULocationID").agg(
+    zones = t.last_forecast(24).groupBy("PULocationID").agg(
         F.sum("predicted").alias("predicted_total")
     )
     return op.hot_cold(zones)
@@ -243,7 +241,7 @@ ROUNDED = """rounded as (select * replace (greatest(round_even(predicted * 24, 0
 
 
 def rounded(t):
-    return last_horizon(t.predictions, "hour", 24).withColumn(
+    return t.last_predictions(24).withColumn(
         "predicted", metrics.round_count(F.col("predicted") * 24)
     )
 
@@ -377,14 +375,19 @@ def _(t):
 )
 def _(t):
     key = ["PULocationID"]
-    history = tail(drop_tail(t.forecast, 24, key, "hour"), 168, key, "hour")
-    return op.residual_band(tail(t.forecast, 24, key, "hour"), history, config=CONFIG)
+    # All series of a dense panel end together, so these hours hold the last rows of each.
+    recent = t.last_forecast(24 + 168)
+    history = tail(drop_tail(recent, 24, key, "hour"), 168, key, "hour")
+    return op.residual_band(tail(recent, 24, key, "hour"), history, config=CONFIG)
 
 
 @query(
-    "p28_global_band", "PULocationID:i hour:t lower:d upper:d", "forecast",
-    """select PULocationID, hour, predicted - 1.96e0 * s as lower, predicted + 1.96e0 * s as upper
-    from forecast, (select stddev_samp(residual) as s from forecast)""",
+    "p28_global_band", "PULocationID:i hour:t lower:d upper:d", "dense",
+    """with m as materialized (select PULocationID, hour, pickup_count, avg(pickup_count) over (w rows between 24 preceding and 1 preceding) as predicted
+            from dense window w as (partition by PULocationID order by hour)
+            qualify row_number() over (partition by PULocationID order by hour) > 168)
+    select PULocationID, hour, predicted - 1.96e0 * s as lower, predicted + 1.96e0 * s as upper
+    from m, (select stddev_samp(pickup_count - predicted) as s from m)""",
 )
 def _(t):
     return op.global_band(t.forecast)

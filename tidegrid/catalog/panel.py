@@ -13,12 +13,13 @@ from tidegrid.functions.seasonal import add_fourier_features, add_yearly_fourier
 from tidegrid.functions.weather import attach_weather, derive_weather_features
 from tidegrid.operators import panel as op
 from tidegrid.operators import splits
-from tidegrid.operators.encoding import add_label_codes, add_target_encoding, fill_zero, smallest_types
+from tidegrid.operators.encoding import add_label_codes, add_target_encoding, feature_columns, fill_zero, smallest_types
 from tidegrid.operators.ranking import top, zone_list
 from tidegrid.operators.series import tail
 from tidegrid.plans.preprocess import build_panel
 from tidegrid.session import shared_folder
 from tidegrid.sources import sales, tables, trips as trip_files, weather as weather_files
+from tidegrid.sources.zones import read_zone_lookup
 
 PANEL = "PULocationID:i hour:t pickup_count:i Borough:s zone_name:s service_zone:s"
 
@@ -43,11 +44,91 @@ def _(t):
     )
 
 
-@query("s5_missing_months", "month:s", "", "select unnest(['2024-02', '2024-03']) as month")
+@query(
+    "s5_missing_months", "month:s", "",
+    """select distinct strftime(m, '%Y-%m') as month from (select o_orderdate as m from orders union all select ts from events)
+    where strftime(m, '%Y-%m') not in (select strftime(min(ts), '%Y-%m') from events)""",
+)
 def _(t):
-    path = scratch(t, "trips")
-    t.trips.select("pickup_dt", "PULocationID").write.parquet(f"{path}/yellow_tripdata_2024-01.parquet")
-    return trip_files.missing_months(t.spark, path, ["2024-01", "2024-02", "2024-03"])
+    # Wanted: the months of orders and trips. Stored: the first month of trips.
+    path, month = scratch(t, "trips"), F.date_format("m", "yyyy-MM").alias("month")
+    times = t.read("orders").select(F.col("o_orderdate").cast("timestamp").alias("m")).unionByName(t.trips.select(F.col("pickup_dt").alias("m")))
+    wanted = [r.month for r in times.select(month).distinct().collect()]  # one row per month of the calendar
+    first = t.trips.agg(F.date_format(F.min("pickup_dt"), "yyyy-MM")).first()[0]
+    t.trips.select("pickup_dt", "PULocationID").write.parquet(f"{path}/yellow_tripdata_{first}.parquet")
+    return trip_files.missing_months(t.spark, path, wanted)
+
+
+@query(
+    "s3_zone_lookup", "LocationID:i Borough:s Zone:s service_zone:s", "zones",
+    "select LocationID, Borough, zone_name as Zone, nullif(service_zone, 'MACHINERY') as service_zone from zones",
+)
+def _(t):
+    # One segment is written as a missing value, the way the lookup file marks it.
+    path = scratch(t, "lookup")
+    marked = F.when(F.col("service_zone") == "MACHINERY", F.lit("N/A")).otherwise(F.col("service_zone"))
+    t.zones.select("LocationID", "Borough", "Zone", marked.alias("service_zone")).write.csv(path, header=True)
+    return read_zone_lookup(t.spark, path)
+
+
+@query(
+    "s4_absent_sources", "taxi_type:s trips:i first_pickup:t", "trips",
+    """select 'green' as taxi_type, count(*) as trips, min(pickup_dt) as first_pickup from trips
+    union all select 'yellow', 0, null""",
+)
+def _(t):
+    # Only files of the type with the other time column are there; the first type is reported as absent.
+    path, found = scratch(t, "trips"), []
+    t.trips.select(F.col("pickup_dt").alias("lpep_pickup_datetime"), "PULocationID").write.parquet(f"{path}/green_tripdata_2024-01.parquet")
+    for kind in ("green", "yellow"):
+        try:
+            facts = trip_files.read_trips(t.spark, path, kind).agg(F.count(F.lit(1)).alias("trips"), F.min("pickup_dt").alias("first_pickup"))
+        except FileNotFoundError:
+            facts = t.trips.limit(1).select(F.lit(0).alias("trips"), F.lit(None).cast("timestamp").alias("first_pickup"))
+        found.append(facts.withColumn("taxi_type", F.lit(kind)))
+    return found[0].unionByName(found[1])
+
+
+@query(
+    "s11_stored_features", "panel_month:s rows:i keys:i naive_total:d mean_total:d", "candidates",
+    """select strftime(hour, '%Y-%m') as panel_month, count(*) as "rows", count(distinct PULocationID) as keys,
+        sum(naive_24) as naive_total, sum(mean_24) as mean_total from candidates group by 1""",
+)
+def _(t):
+    path = scratch(t, "features")
+    tables.write_by_month(t.candidates, path, CONFIG)
+    return t.spark.read.parquet(path).groupBy(F.col("panel_month").cast("string").alias("panel_month")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("PULocationID").alias("keys"),
+        F.sum("naive_24").alias("naive_total"), F.sum("mean_24").alias("mean_total"),
+    )
+
+
+@query(
+    "s16_sales_tables", "series_id:i weekday:i sales:i prices:i", "daily_sales prices",
+    """select series_id, isodow(d) as weekday, sum(sales) as sales, (select count(*) from prices) as prices
+    from daily_sales group by 1, 2""",
+)
+def _(t):
+    # Wide sales with one column per weekday, its calendar, and the prices, stored and read as three tables.
+    path = scratch(t, "sales")
+    days = t.daily_sales.select("series_id", F.concat(F.lit("d_"), F.weekday("d") + 1).alias("day"), "sales")
+    days.groupBy("series_id").pivot("day", [f"d_{i}" for i in range(1, 8)]).agg(F.sum("sales")).write.parquet(f"{path}/sales")
+    t.daily_sales.select((F.weekday("d") + 1).alias("weekday")).distinct().withColumn("d", F.concat(F.lit("d_"), "weekday")).write.parquet(f"{path}/calendar")
+    t.prices.write.parquet(f"{path}/prices")
+    wide, calendar, prices = sales.read_sales_tables(t.spark, path)
+    long = sales.wide_to_long(wide).filter("sales is not null").join(calendar, "d")
+    return long.withColumn("prices", prices.agg(F.count(F.lit(1))).scalar())
+
+
+@query(
+    "p17_feature_list", "feature:s mean:d", "candidates",
+    """select feature, avg(value) as mean from (select cast(naive_24 as double) as naive_24, cast(naive_168 as double) as naive_168, mean_24 from candidates)
+    unpivot (value for feature in (naive_24, naive_168, mean_24)) group by 1""",
+)
+def _(t):
+    names = feature_columns(t.candidates, ["pickup_count", "PULocationID"])
+    means = t.candidates.agg(*[F.avg(c).alias(c) for c in names])
+    return means.unpivot([], names, "feature", "mean")
 
 
 @query(

@@ -99,6 +99,22 @@ def dense_grid(
     )
 
 
+def recent_grid(
+    trips: DataFrame, hours: int, config: DemandConfig = DEFAULT, time: str = "pickup_dt"
+) -> DataFrame:
+    """The last ``hours`` of the dense grid of all keys, from raw trips.
+
+    Equal to the end of ``dense_grid(hourly_counts(trips))``. Trips before the bound are
+    not counted; the bound is a scalar on the stored time, so the scan can skip them too.
+    """
+    first, last = (F.date_trunc("hour", f(time)) for f in (F.min, F.max))
+    span = F.make_dt_interval(hours=F.lit(hours - 1))
+    start = trips.agg(F.greatest(first, last - span)).scalar()
+    end = trips.agg(last).scalar()
+    counts = hourly_counts(trips.filter(F.col(time) >= start), config, time)
+    return dense_grid(counts, config, keys=trips.select(config.key).distinct(), start=start, end=end)
+
+
 def attach_zones(panel: DataFrame, lookup: DataFrame, config: DemandConfig = DEFAULT) -> DataFrame:
     """Left join of the zone dimension; unknown zones get the text ``Unknown``.
 

@@ -27,8 +27,9 @@ def split_last_days(df: DataFrame, time: str, days: int) -> tuple[DataFrame, Dat
     return df.filter(F.col(time) < limit), df.filter(F.col(time) >= limit)
 
 
-def last_horizon(df: DataFrame, time: str, hours: int) -> DataFrame:
-    return df.filter(F.col(time) > cutoff(df, time, hours))
+def last_horizon(df: DataFrame, time: str, hours: int, of: DataFrame | None = None) -> DataFrame:
+    """Rows of the last ``hours``; ``of`` names a cheaper table with the same latest time."""
+    return df.filter(F.col(time) > cutoff(df if of is None else of, time, hours))
 
 
 def time_quantile(df: DataFrame, time: str, q: float) -> Column:
