@@ -137,3 +137,29 @@ def test_unit_root_against_direct_regression(spark, panel):
         beta, rest = np.linalg.lstsq(x, np.diff(y), rcond=None)[:2]
         spread = np.sqrt(rest[0] / (len(y) - 3) * np.linalg.inv(x.T @ x)[1, 1])
         assert got.loc[zone, "statistic"] == pytest.approx(beta[1] / spread)
+
+
+class _Shifted:
+    """A forecast that is wrong by a known amount, however it is fitted."""
+
+    def __init__(self, off):
+        self.off = off
+
+    def fit(self, train):
+        return self
+
+    def predict(self, df):
+        return df.withColumn("prediction", F.col("pickup_count") + F.lit(self.off))
+
+
+def test_halving_finds_the_winner_of_the_full_search(panel):
+    from tidegrid.models.backtest import halve, tune
+
+    options = dict(n_trials=6, n_splits=4, test_size=24, space={"off": (0.1, 9.0, "real")}, seed=7, config=CONFIG)
+    best, scores = halve(panel, lambda p: _Shifted(p["off"]), **options)
+    full, every = tune(panel, lambda p: _Shifted(p["off"]), **options)
+    assert best == full and every.count() == 24
+    per_trial = sorted(r["count"] for r in scores.groupBy("trial").count().collect())
+    assert per_trial == [1, 1, 1, 2, 3, 4]  # 6, 3, 2, 1 trials on the folds: half of the full search
+    known = {(r.trial, r.fold): r.rmse for r in every.collect()}
+    assert all(abs(known[r.trial, r.fold] - r.rmse) < 1e-9 for r in scores.collect())

@@ -16,7 +16,7 @@ from tidegrid.catalog.panel import scratch
 from tidegrid.models import ensemble
 from tidegrid.functions.metrics import evaluate
 from tidegrid.models.autoregression import SeasonalAutoregression
-from tidegrid.models.backtest import Backtest, tune
+from tidegrid.models.backtest import BOOSTED_SPACE, Backtest, halve, tune
 from tidegrid.models.boosting import BoostedTrees, boosting_presets
 from tidegrid.models.explain import mean_attribution, permutation_importance, tree_contributions, waterfall
 from tidegrid.models.plugin import per_series
@@ -168,6 +168,15 @@ def _(t):
     return scores
 
 
+@query("m5_halving_search", "trial:i fold:i rmse:d")
+def _(t):
+    space = BOOSTED_SPACE | {"max_depth": (2, 4, "int"), "iterations": (2, 5, "int"), "step": (0.1, 0.5, "log")}
+    rows = featured(t)
+    base = BoostedTrees(tuple(feature_columns(rows, NOT_FEATURES)), val_size=0)
+    _, scores = halve(rows, lambda params: base.with_params(**params), 4, 3, 48, space, config=CONFIG)
+    return scores
+
+
 @query("m6_seasonal_autoregression", "PULocationID:i hour:t step:i predicted:d")
 def _(t):
     return SeasonalAutoregression(config=CONFIG).fit(t.dense).forecast(t.dense, 24)
