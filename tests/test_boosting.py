@@ -153,3 +153,52 @@ def test_search_has_both_penalties(rows):
     space = BOOSTED_SPACE | {"max_depth": (2, 3, "int"), "iterations": (1, 2, "int")}
     best, scores = tune(rows, lambda p: BoostedTrees(NAMES, val_size=0).with_params(**p), 2, 1, 30, space, config=DemandConfig())
     assert {"l1", "l2"} <= set(best) and scores.count() == 2
+
+
+def test_rows_are_kept_in_blocks_and_no_learning_table_is_written(spark, rows, monkeypatch):
+    from tidegrid.models import boosting
+
+    written = []
+    keep = boosting.stored
+    monkeypatch.setattr(boosting, "stored", lambda df, label: written.append(label) or keep(df, label))
+    monkeypatch.setattr(boosting, "_BLOCK_ROWS", 64)
+    spec = BoostedTrees(NAMES, iterations=2, max_depth=3, subsample=0.7, val_size=30, cuts=CUTS)
+    spec.fit(rows)
+    assert written == ["binned"]
+    state = spec._binned(rows.repartition(1), [list(CUTS[n]) for n in NAMES], 0.5)
+    assert state.count() < 10 < rows.count()
+    sizes = [(len(r.y), len(r.is_val), len(r.u), len(r.margin), len(r.bins)) for r in state.collect()]
+    assert sum(s[0] for s in sizes) == 8 * 400 and all(s == (8 * s[1], s[1], 8 * s[1], 8 * s[1], 3 * s[1]) for s in sizes)
+
+
+@pytest.mark.parametrize("inner", [0, 1, 20, 400])
+def test_leaves_equal_a_walk_per_row(inner):
+    from tidegrid.models.boosting import Tree
+
+    rng = np.random.default_rng(inner)
+    feature, left, right, cut, level = [-1], [0], [0], [0], [0]
+    for _ in range(inner):
+        node = int(rng.choice(np.flatnonzero(np.array(feature) < 0)))
+        feature[node], cut[node], left[node], right[node] = int(rng.integers(0, 4)), int(rng.integers(0, 60)), len(feature), len(feature) + 1
+        for _side in range(2):
+            feature.append(-1), left.append(0), right.append(0), cut.append(0), level.append(level[node] + 1)
+    zero = np.zeros(len(feature))
+    tree = Tree(*(np.array(c) for c in (feature, cut)), np.array(cut, float), np.array(left), np.array(right), zero, zero, zero, max(level))
+    x = rng.integers(0, 64, (4, 500)).astype(np.uint8)
+    real = np.where(rng.random(x.shape) < 0.1, np.nan, x.astype(float))
+    for columns, limits in ((x, tree.cut), (real, tree.threshold)):
+        want = []
+        for row in columns.T:
+            node = 0
+            while feature[node] >= 0:
+                node = right[node] if row[feature[node]] > limits[node] else left[node]
+            want.append(node)
+        assert tree.leaves(columns, limits).tolist() == want
+
+
+def test_hold_out_joins_a_stored_cut(rows):
+    from tidegrid.operators.splits import hold_out
+
+    marked = hold_out(rows, ["PULocationID"], "hour", 30)
+    assert marked.filter("is_val").count() == 60
+    assert any("/cut-" in f for f in marked.inputFiles())

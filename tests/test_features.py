@@ -150,3 +150,35 @@ def test_last_hours_are_cut_below_the_windows(spark):
     plan = table.last_candidates(24)._jdf.queryExecution().optimizedPlan().toString()
     window, bound = plan.index("Window ["), plan.rindex("pickup_dt")
     assert window < bound and "scalar-subquery" in plan[window:]
+
+
+@pytest.mark.parametrize("batch", [1, 37, 10_000])
+def test_history_of_whole_numbers_is_one_pass_over_batches_of_any_size(spark, panel, batch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        gaps = panel.filter("hour < '2024-07-05'").withColumn("pickup_count", F.when(F.hour("hour") != 7, F.col("pickup_count")))
+        made = add_history_features(gaps, "pickup_count", CONFIG, dense=False)
+        got = ordered(made)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    by = got.groupby("PULocationID")["pickup_count"]
+    np.testing.assert_allclose(got["lag_24h"], by.shift(24), equal_nan=True)
+    for stat in CONFIG.stats:
+        want = by.transform(lambda x: getattr(x.shift(1).rolling(24, min_periods=1), stat)())
+        np.testing.assert_allclose(got[f"rolling_{stat}_24h"], want, equal_nan=True, atol=1e-9)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
+
+
+def test_a_null_key_is_a_series_of_its_own(spark):
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 6), (3, 1, 7), (3, 2, 8)], "PULocationID int, h int, pickup_count int")
+    rows = rows.withColumn("hour", F.expr("timestamp'2024-01-01' + make_dt_interval(0, h)")).drop("h")
+    got = add_rolling_features(rows, "pickup_count", [2], ["mean"], CONFIG).filter("rolling_mean_2h is not null").collect()
+    assert sorted((r.PULocationID or 0, r.rolling_mean_2h) for r in got) == [(0, 5.0), (3, 7.0)]
+
+
+def test_hours_of_few_keys_are_made_by_many_tasks(spark):
+    rows = spark.range(40).selectExpr("cast(id as int) as PULocationID", "timestamp'2024-01-01' + make_dt_interval(0, cast(id as int)) as hour", "1 as pickup_count")
+    plan = dense_grid(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
