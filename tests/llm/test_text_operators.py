@@ -365,6 +365,13 @@ def test_language_model_contract(docs, rows, empty):
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_every_learning_document_trains_the_network(docs, monkeypatch):
+    stored, keep = {}, language_model.stash
+    monkeypatch.setattr(language_model, "stash", lambda df, label: stored.setdefault(label, keep(df, label)))
+    model, _ = language_model.learn(docs.select("doc_id", "text"), vocabulary=6, table=12)
+    assert stored["copies"].filter("block = 0").agg(F.sum("tokens")).first()[0] == model.train_tokens
+
+
 def test_recurrent_slopes_and_whole_documents():
     rng = np.random.default_rng(1)
     w = {k: x.astype(np.float64) + rng.normal(0, 0.1, x.shape) for k, x in language_model.first_weights(np.array([5.0, 3, 2, 2, 1]), units=4).items()}

@@ -6,8 +6,8 @@
    rarer words, so the probabilities of a text add up over all words.
 3. A gated recurrent unit is trained in numpy by backpropagation truncated to windows;
    the output is factored: the class of a symbol (by frequency), then the symbol in its
-   class. It starts from the counted frequencies. A fixed share of the learning documents
-   is dealt to workers of about ``worker_tokens`` tokens; each trains its own copy, and
+   class. It starts from the counted frequencies. All learning documents
+   are dealt to workers of about ``worker_tokens`` tokens; each trains its own copy, and
    the copies are averaged by their tokens, block by block in Spark. So what is counted
    and trained on grows with the input.
 4. Scoring runs over every whole text: documents lie one after the other in lanes, and
@@ -41,10 +41,10 @@ VOCABULARY = 4094
 TABLE = 200_000
 UNITS = 32
 WINDOW = 24
-TRAIN_LANES, SCORE_LANES = 32, 256
-#: Of the learning documents one in so many (by a hash of doc_id) trains the network.
-TRAIN_ONE_IN = 6
-WORKER_TOKENS = 1_000_000
+TRAIN_LANES, SCORE_LANES = 128, 256
+#: Of the learning documents one in so many (by a hash of doc_id) trains the network: all of them.
+TRAIN_ONE_IN = 1
+WORKER_TOKENS = 4_000_000
 GROUP_TOKENS = 1_000_000
 HELD_WORDS = 300_000
 BLOCK = 8192
