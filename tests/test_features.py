@@ -182,3 +182,12 @@ def test_hours_of_few_keys_are_made_by_many_tasks(spark):
     rows = spark.range(40).selectExpr("cast(id as int) as PULocationID", "timestamp'2024-01-01' + make_dt_interval(0, cast(id as int)) as hour", "1 as pickup_count")
     plan = dense_grid(rows)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_out_of_fold_predictions_are_written_fold_by_fold(panel):
+    from tidegrid.models.ensemble import StackingEnsemble
+
+    last = lambda rows: lambda df: df.withColumn("prediction", F.lit(1.0))
+    made = StackingEnsemble({"a": last, "b": last}, "ridge", 3, 28, CONFIG).out_of_fold(panel)
+    assert made.groupBy("fold").count().filter("count = 56").count() == 3
+    assert len({f.split("/out-of-fold-")[1].split("/")[0] for f in made.inputFiles()}) == 3
