@@ -11,6 +11,7 @@ from tidegrid.operators.encoding import add_label_codes, add_target_encoding
 from tidegrid.operators.panel import attach_zones, clean_trips, dense_grid, hourly_counts, recent_grid
 from tidegrid.operators.series import add_history_features, add_lag_features, add_rolling_features
 from tidegrid.operators.splits import last_horizon
+from tidegrid.plans.features import build_features
 
 CONFIG = DemandConfig()
 
@@ -191,3 +192,31 @@ def test_out_of_fold_predictions_are_written_fold_by_fold(panel):
     made = StackingEnsemble({"a": last, "b": last}, "ridge", 3, 28, CONFIG).out_of_fold(panel)
     assert made.groupBy("fold").count().filter("count = 56").count() == 3
     assert len({f.split("/out-of-fold-")[1].split("/")[0] for f in made.inputFiles()}) == 3
+
+
+def test_the_grid_is_made_without_a_join_and_stays_dealt_by_key(spark):
+    """A repeated, a null and an unused key, an hour off the grid, two counts of one hour."""
+    hour = "timestamp'2024-01-01' + make_dt_interval(0, 0, m)"
+    counts = spark.createDataFrame([(1, 120, 3), (1, 120, 4), (1, 300, 1), (2, 0, 2), (None, 60, 9), (3, 210, 7), (4, 240, None)], "PULocationID int, m int, pickup_count int")
+    counts = counts.select("PULocationID", F.expr(hour).alias("hour"), "pickup_count")
+    made = dense_grid(counts)
+    got = sorted((r.PULocationID or 0, r.hour.hour, r.pickup_count) for r in made.collect())
+    want = {(k, h): 0 for k in range(5) for h in range(6)} | {(1, 5): 1, (2, 0): 2}
+    del want[1, 2]
+    assert got == sorted([(k, h, n) for (k, h), n in want.items()] + [(1, 2, 3), (1, 2, 4)])
+    keys = spark.createDataFrame([(1,), (1,), (None,), (9,)], "PULocationID int")
+    again = dense_grid(counts, keys=keys).groupBy("PULocationID").agg(F.count("hour").alias("n"), F.sum("pickup_count").alias("s")).collect()
+    assert {r.PULocationID: (r.n, r.s) for r in again} == {1: (14, 16), None: (6, 0), 9: (6, 0)}
+    plan = made.groupBy("PULocationID").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_columns_of_the_time_are_made_once_per_hour(spark, panel):
+    rows = panel.union(spark.createDataFrame([(161, None, 1, "Manhattan", "Midtown Center", "Yellow Zone")], panel.schema))
+    made = build_features(rows, None, CONFIG, include_target_encoding=False, include_codes=False, dense=False, drop_incomplete=False)
+    assert "next_day" not in made._jdf.queryExecution().optimizedPlan().toString()
+    start = rows.agg(F.min("hour")).scalar()
+    one_by_one = add_holiday_features(add_fourier_features(add_calendar_features(rows), origin=start))
+    names = one_by_one.columns
+    text = lambda df: sorted(str(r) for r in df.select(*names).collect())
+    assert text(made) == text(one_by_one) and [c for c in made.columns if c in names] == names
