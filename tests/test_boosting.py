@@ -202,3 +202,21 @@ def test_hold_out_joins_a_stored_cut(rows):
     marked = hold_out(rows, ["PULocationID"], "hour", 30)
     assert marked.filter("is_val").count() == 60
     assert any("/cut-" in f for f in marked.inputFiles())
+
+
+def test_cut_points_come_from_small_summaries_of_every_task(spark):
+    """Exact for few distinct values, within a rank of one in some thousands for many; missing values take no part."""
+    rows = spark.range(0, 300_000, 1, 5).selectExpr(
+        "cast(id % 7 as int) as few", "if(id % 10 = 0, double('nan'), if(id % 10 = 1, null, pmod(xxhash64(id), 1000003) / 1000003D)) as many", "cast(null as double) as none", "cast(id % 3 as int) as pickup_count"
+    )
+    spec = BoostedTrees(("few", "many", "none"), max_bins=32)
+    (few, many, none), base = spec._cut_points(rows)
+    assert few == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0] and none == [] and base == 1.0
+    known = np.sort(rows.filter("many is not null and not isnan(many)").toPandas()["many"])
+    at = np.searchsorted(known, many) / len(known)
+    assert np.abs(at - np.arange(1, 32) / 32).max() < 0.001
+    from tidegrid.models import boosting
+
+    values, weights = boosting._thinned([(known, np.ones(len(known), np.int64))] * 3)
+    assert len(values) <= boosting._POINTS and weights.sum() == 3 * len(known) and values[-1] == known[-1]
+    assert spec._cut_points(rows.filter("false")) == ([[], [], []], 0.0)
