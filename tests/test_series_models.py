@@ -161,3 +161,63 @@ def test_tree_attributions_add_up(spark):
     top = waterfall(told, spec.features, "prediction", ["PULocationID", "hour"]).collect()
     assert sum(r["value"] for r in top) + got["attr_base"][0] == pytest.approx(got["prediction"].max())
     assert all(np.isfinite(path_means(t)).all() for t in fitted.trees)
+
+
+def test_moments_are_matrix_products_of_batches(spark):
+    """Groups over several batches, rows out of order, a null group, rows with a missing value."""
+    from tidegrid.models.linear import moment_table, unpack_moments
+
+    rows = spark.range(0, 900, 1, 3).selectExpr("if(id % 4 = 3, null, id % 4) as g", "cast(id % 11 as double) as a", "if(id % 50 = 0, null, id % 13) as b", "id % 5 as y")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        table = moment_table(rows, ["a", "b"], "y", ["g"])
+        got = {r["g"]: r.asDict() for r in table.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "MapInArrow" in table._jdf.queryExecution().executedPlan().toString()
+    frame = rows.toPandas().dropna(subset=["b"])
+    for g in (0, 1, 2, None):
+        part = frame[frame["g"].isna() if g is None else frame["g"] == g]
+        x = np.column_stack([np.ones(len(part)), part["a"], part["b"]])
+        xtx, xty, yty, n = unpack_moments(got[g], 2)
+        np.testing.assert_allclose(xtx, x.T @ x)
+        np.testing.assert_allclose(xty, x.T @ part["y"])
+        assert (yty, n) == ((part["y"] ** 2).sum(), len(part))
+    empty = moment_table(rows.filter("false"), ["a", "b"], "y").first()
+    assert empty["n"] == 0 and empty["m"][0] is None
+
+
+def test_user_models_see_whole_series_cut_from_batches(spark):
+    from tidegrid.models.plugin import per_series
+
+    rows = spark.range(500).selectExpr("cast(if(id % 5 = 4, null, id % 5) as int) as PULocationID", "timestamp'2024-01-01' + make_dt_interval(0, cast((id * 7) % 500 as int)) as hour", "if(id = 3, null, cast(id as int)) as pickup_count")
+    one = rows.union(spark.sql("select 9, timestamp'2024-01-01', 5"))
+
+    def told(series):
+        ordered = bool(series["hour"].is_monotonic_increasing) and series.index.tolist() == list(range(len(series)))
+        kind = series["pickup_count"].dtype.kind
+        return pd.DataFrame({"n": [len(series)], "key": [series["PULocationID"].iloc[0]], "fine": [ordered and kind == ("f" if series["pickup_count"].isna().any() else "i")]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for batch in (7, 100, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            made = per_series(one, told, "key double, n long, fine boolean")
+            got = sorted((-1.0 if r.key is None or r.key != r.key else r.key, r.n, r.fine) for r in made.collect())
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert got == [(-1.0, 100, True), (0.0, 100, True), (1.0, 100, True), (2.0, 100, True), (3.0, 100, True), (9.0, 1, True)]
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_errors_of_nested_fits_come_from_one_factor():
+    from tidegrid.operators.diagnostics import _nested_errors
+
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(200, 6)) * [1, 50, 3, 1e3, 2, 1], rng.normal(size=200)
+    got = _nested_errors(x.T @ x, x.T @ y, y @ y)
+    want = [np.square(y - x[:, :i] @ np.linalg.lstsq(x[:, :i], y, rcond=None)[0]).sum() for i in range(1, 7)]
+    np.testing.assert_allclose(got, want)
+    x[:, 3] = x[:, 1] + x[:, 2]
+    assert _nested_errors(x.T @ x, x.T @ y, y @ y) is None and _nested_errors(np.zeros((2, 2)), np.zeros(2), 0.0) is None

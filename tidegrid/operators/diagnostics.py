@@ -153,7 +153,7 @@ def adf(
     used = [F.col("levels")[1]] + [
         F.when(F.col("order") >= i, change(i)).otherwise(F.lit(0.0)) for i in range(1, size)
     ]
-    final = moment_table(kept, used, change(0), [key], extra=[F.max("order").alias("order")])
+    final = moment_table(kept, used, change(0), [key, "order"])
     fields = "statistic double, p_value double, lags int, n_obs bigint, critical_5pct double"
     tested = _solve_rows(final, key, df, size, _statistic, fields)
     return tested.withColumn("is_stationary", F.col("p_value") < 0.05)
@@ -179,12 +179,28 @@ def _fit(xtx: np.ndarray, xty: np.ndarray, yty: float, n: int, size: int):
     return beta, inverse, sse
 
 
+def _nested_errors(xtx: np.ndarray, xty: np.ndarray, yty: float) -> np.ndarray | None:
+    """Squared errors of the fits on the first 1, 2, ... columns, all from one Cholesky factor;
+    None if columns are too close to depend on each other."""
+    size = np.sqrt(np.diag(xtx))
+    if not size.all() or not np.isfinite(size).all():
+        return None
+    try:
+        factor = np.linalg.cholesky(xtx / np.outer(size, size))
+    except np.linalg.LinAlgError:
+        return None
+    if np.diag(factor).min() < 1e-4:
+        return None
+    return yty - np.cumsum(np.square(np.linalg.solve(factor, xty / size)))
+
+
 def _choose_order(row: dict, k: int) -> tuple[int]:
     """Columns are: constant, level, lagged differences; order p uses the first p + 2."""
     xtx, xty, yty, n = unpack_moments(row, k)
     best, chosen = np.inf, 0
+    errors = _nested_errors(xtx, xty, yty)
     for p in range(k):
-        _, _, sse = _fit(xtx, xty, yty, n, p + 2)
+        sse = _fit(xtx, xty, yty, n, p + 2)[2] if errors is None else max(float(errors[p + 1]), 0.0)
         likelihood = -n / 2.0 * (np.log(2 * np.pi) + np.log(max(sse, 1e-300) / n) + 1.0)
         aic = 2.0 * (p + 2) - 2.0 * likelihood
         if aic < best - 1e-9:
