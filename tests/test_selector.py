@@ -88,3 +88,22 @@ def test_history_goes_on_from_any_cut():
         part = history_table(y[:cut][-168:], y[cut:], CONFIG)
         for name, values in whole.items():
             np.testing.assert_allclose(part[name], values[cut:], atol=1e-9)
+
+
+def test_meta_learners_read_candidates_written_once(spark, tmp_path):
+    """The windows are not made again by the bounds of the split or by any pass of the meta-learner."""
+    from tidegrid.catalog.base import QUERIES
+
+    events = spark.sql(
+        "select id as event_id, timestamp'2024-01-01' + make_dt_interval(0, cast(id % 400 as int)) as ts, id % 3 as user_id, 'view' as event_type, 1D as value, '' as props from range(1500)"
+    )
+    tables = {
+        "events": events, "customer": spark.sql("select id as c_custkey, 0 as c_nationkey, 'BUILDING' as c_mktsegment from range(3)"),
+        "nation": spark.sql("select 0 as n_nationkey, 'A' as n_name, 0 as n_regionkey"), "region": spark.sql("select 0 as r_regionkey, 'B' as r_name"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    made = QUERIES["m12_stacked_predictions"](spark, str(tmp_path))
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == 3 * 168 and made.filter("prediction is null").count() == 0
+    assert QUERIES["m13_meta_weights"](spark, str(tmp_path)).count() == 3

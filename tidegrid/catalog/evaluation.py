@@ -16,6 +16,7 @@ from tidegrid.operators import diagnostics, explore, splits
 from tidegrid.operators.ordered import cumulative_share
 from tidegrid.operators.ranking import best_by, top
 from tidegrid.operators.timetravel import as_of
+from tidegrid.session import stored
 
 METRIC_SPEC = "rmse:d mae:d smape:d"
 METRIC_SQL = """sqrt(avg((actual - predicted) * (actual - predicted))) as rmse, avg(abs(actual - predicted)) as mae,
@@ -245,17 +246,22 @@ def _(t):
     return ensemble.ensemble_weights(wide, CANDIDATES)
 
 
+def stored_candidates(t):
+    """Written once: the bounds of the split and every pass of the meta-learner would make the windows again."""
+    narrow = t.candidates.select("PULocationID", "hour", F.col("pickup_count").cast("double").alias("actual"), *CANDIDATES)
+    return stored(narrow, "candidates")
+
+
 @query("m12_stacked_predictions", "PULocationID:i hour:t prediction:d")
 def _(t):
-    wide = t.candidates.withColumn("actual", F.col("pickup_count").cast("double"))
+    wide = stored_candidates(t)
     train, test = splits.split_last_hours(wide, "hour", 168)
     return ensemble.fit_stack(train, CANDIDATES).predict(test)
 
 
 @query("m13_meta_weights", "model:s weight:d")
 def _(t):
-    wide = t.candidates.withColumn("actual", F.col("pickup_count").cast("double"))
-    return ensemble.fit_stack(wide, CANDIDATES).weights(t.spark)
+    return ensemble.fit_stack(stored_candidates(t), CANDIDATES).weights(t.spark)
 
 
 # --- least squares ---------------------------------------------------------
