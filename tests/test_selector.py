@@ -92,8 +92,9 @@ def test_history_goes_on_from_any_cut():
 
 def test_meta_learners_read_candidates_written_once(spark, tmp_path):
     """The windows are not made again by the bounds of the split or by any pass of the meta-learner."""
-    from tidegrid.catalog.base import QUERIES
+    from tidegrid.catalog import all_queries
 
+    queries = all_queries()
     events = spark.sql(
         "select id as event_id, timestamp'2024-01-01' + make_dt_interval(0, cast(id % 400 as int)) as ts, id % 3 as user_id, 'view' as event_type, 1D as value, '' as props from range(1500)"
     )
@@ -103,7 +104,7 @@ def test_meta_learners_read_candidates_written_once(spark, tmp_path):
     }
     for name, rows in tables.items():
         rows.write.parquet(f"{tmp_path}/{name}.parquet")
-    made = QUERIES["m12_stacked_predictions"](spark, str(tmp_path))
+    made = queries["m12_stacked_predictions"](spark, str(tmp_path))
     assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
     assert made.count() == 3 * 168 and made.filter("prediction is null").count() == 0
-    assert QUERIES["m13_meta_weights"](spark, str(tmp_path)).count() == 3
+    assert queries["m13_meta_weights"](spark, str(tmp_path)).count() == 3
