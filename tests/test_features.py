@@ -220,3 +220,31 @@ def test_columns_of_the_time_are_made_once_per_hour(spark, panel):
     names = one_by_one.columns
     text = lambda df: sorted(str(r) for r in df.select(*names).collect())
     assert text(made) == text(one_by_one) and [c for c in made.columns if c in names] == names
+
+
+def test_ring_state_serves_groups_of_keys(spark, tmp_path, monkeypatch):
+    """Two ingests of several files, more keys than groups, quiet hours between, a key that comes later and one that is null."""
+    from tidegrid.sources.trips import trip_stream
+    from tidegrid.streaming import live, ring
+
+    monkeypatch.setattr(ring, "GROUPS", 2)
+    monkeypatch.setattr(ring, "SPAN", 50)
+    trips = spark.sql(
+        "select cast(if(k = 9, null, k) as int) as PULocationID, timestamp'2024-07-01 00:10:00' + make_dt_interval(0, h) as pickup_dt, h "
+        "from (select explode(sequence(0, 259)) as h) lateral view explode(array(1, 2, 3, 4, 9)) as k "
+        "lateral view explode(sequence(0, (h * 7 + k) % 3)) as again where not h between 50 and 60 and (h + k) % 4 <> 0 and (k < 4 or h >= 120)"
+    )
+    given = trips.drop("h")
+    origin = 1719792000  # 2024-07-01 00:00:00
+    with ring.keyed_state(spark):
+        for a, b in ((0, 100), (100, 260)):
+            given.filter((trips.h >= a) & (trips.h < b)).repartition(3).write.mode("append").parquet(f"{tmp_path}/trips")
+            stream = ring.live_ring_features(trip_stream(spark, f"{tmp_path}/trips", given.schema), origin)
+            got = live.run_to_table(stream, f"{tmp_path}/table", f"{tmp_path}/state")
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "ring").load(f"{tmp_path}/state")
+    assert state.count() <= 2
+    counts = hourly_counts(given.fillna(-1), DemandConfig())
+    counts = counts.filter("hour < timestamp'2024-07-11 17:00:00'")  # two hours before the last trip
+    want = _features(_dense(counts), "pickup_count", DemandConfig()).select(*got.columns)
+    shown = lambda df: sorted(tuple(round(-1.0 if v is None else v, 6) if i > 1 else str(v) for i, v in enumerate(r)) for r in df.fillna(-1, ["PULocationID"]).collect())
+    assert got.count() == 5 * 257 and shown(got) == shown(want)

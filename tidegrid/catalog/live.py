@@ -76,6 +76,7 @@ def _(t):
     with ring.keyed_state(t.spark):
         for part in PARTS:
             t.trips.filter(part).select("pickup_dt", "PULocationID").write.mode("append").parquet(f"{base}/trips")
-            stream = trip_stream(t.spark, f"{base}/trips", t.trips.select("pickup_dt", "PULocationID").schema)
+            # An ingest is one batch however many files it has: of two, the second would come too late.
+            stream = trip_stream(t.spark, f"{base}/trips", t.trips.select("pickup_dt", "PULocationID").schema, max_files=2**31 - 1)
             features = live.run_to_table(ring.live_ring_features(stream, first or 0, config=CONFIG), f"{base}/table", f"{base}/state")
     return features
