@@ -503,3 +503,40 @@ def test_words_and_hashes_are_no_layers():
     assert scan(words)[1] == []
     long = "QUJD" * 200_000
     assert scan(long)[3]
+
+
+def test_training_in_blocks_is_one_pass_of_adaptive_moments(monkeypatch):
+    """Slopes summed per symbol, lanes laid out in stretches, and steps in blocks of weights give what the plain formulas give."""
+    rng = np.random.default_rng(5)
+    keys, rows = rng.zipf(1.5, 400) % 50, rng.normal(size=(400, 3))
+    found, sums = language_model._sums(rows, keys)
+    assert found.tolist() == sorted(set(keys.tolist())) and max(Counter(keys.tolist()).values()) > 4
+    assert np.allclose(sums, [rows[keys == k].sum(axis=0) for k in found])
+
+    docs = [np.array([*rng.integers(1, 9, n), 0], np.int32) for n in (0, 3, 700, 90, 41, 200)]
+    monkeypatch.setattr(language_model, "TRAIN_LANES", 3)
+    whole = list(language_model.lanes_of(docs, 3))
+    monkeypatch.setattr(language_model, "STRETCH", language_model.WINDOW)
+    cut = list(language_model.lanes_of(docs, 3))
+    assert len(whole) == len(cut) == -(-701 // language_model.WINDOW)
+    assert all(np.array_equal(a, b) for x, y in zip(whole, cut) for a, b in zip(x, y))
+    assert sum(int((own >= 0).sum()) for *_, own in whole) == sum(map(len, docs))
+    monkeypatch.setattr(language_model, "STEP_BLOCK", 100)
+    first = language_model.first_weights(rng.integers(1, 50, 9).astype(float), units=4)
+    got = language_model.train(first, docs)
+
+    w, mean, square = {k: v.astype(np.float64) for k, v in first.items()}, {k: 0.0 for k in first}, {k: 0.0 for k in first}
+    state = np.zeros((3, 4))
+    for turn, (inp, tgt, starts, own) in enumerate(whole, 1):
+        states, kept = language_model.run_window(w, inp, starts, state[: inp.shape[1]])
+        real, grads, back = own >= 0, {}, np.zeros_like(states)
+        _, back[real] = language_model.log_probabilities(w, states[real], tgt[real], grads)
+        language_model._through_time(w, inp, starts, kept, back, grads)
+        norm = math.sqrt(sum((g * g).sum() for g in grads.values()))
+        for k, g in grads.items():
+            g = g * min(1.0, 1.0 / (norm + 1e-9))
+            mean[k], square[k] = 0.9 * mean[k] + 0.1 * g, 0.99 * square[k] + 0.01 * g * g
+            w[k] -= 0.01 * math.sqrt(1 - 0.99**turn) / (1 - 0.9**turn) * mean[k] / (np.sqrt(square[k]) + 1e-6)
+        state = states[-1]
+    for k in w:
+        assert np.allclose(got[k], w[k], atol=5e-3), k

@@ -27,6 +27,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,17 @@ VOCABULARY = 4094
 TABLE = 200_000
 UNITS = 32
 WINDOW = 24
+#: Steps laid out at once, a multiple of the window.
+STRETCH = 32 * WINDOW
 TRAIN_LANES, SCORE_LANES = 128, 256
 #: Of the learning documents one in so many (by a hash of doc_id) trains the network: all of them.
 TRAIN_ONE_IN = 1
 WORKER_TOKENS = 4_000_000
-GROUP_TOKENS = 1_000_000
+#: Tokens held at once. Lanes are filled from them, so many more than the longest text times the
+#: lanes keep windows full: a window of few lanes costs nearly as much as a full one.
+GROUP_TOKENS = 4_000_000
+#: Weights that one step of the optimiser touches at once (they stay in the cache).
+STEP_BLOCK = 65536
 HELD_WORDS = 300_000
 BLOCK = 8192
 END, RARE = 0, 1
@@ -136,7 +143,7 @@ def _tanh(x: np.ndarray, out: np.ndarray) -> np.ndarray:
 def run_window(w: dict[str, np.ndarray], inputs: np.ndarray, starts: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
     """States after every step of (time, lane) inputs, and what the way back needs."""
     units = state.shape[1]
-    given = w["gates"][inputs]
+    given = w["gates"].take(inputs, axis=0)
     kind = np.result_type(state, given)
     states, before, new = (np.empty((*inputs.shape, units), kind) for _ in range(3))
     gates = np.empty((*inputs.shape, 2 * units), kind)
@@ -181,8 +188,15 @@ def _picked(x: np.ndarray, place: np.ndarray, slope: bool, moderate: bool = Fals
     return found, x
 
 
+def _place(grads: dict[str, np.ndarray], name: str, like: np.ndarray) -> np.ndarray:
+    """The array for the slopes of a weight: zeros, those of the caller if it brings them."""
+    if name not in grads:
+        grads[name] = np.zeros_like(like)
+    return grads[name]
+
+
 def log_probabilities(w: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probability of each target; with ``grads`` also the slope of their negative mean."""
+    """Natural log-probability of each target; with ``grads`` (arrays of zeros, or empty) also the slope of their negative mean."""
     size, learning = w["word_b"].shape[1], grads is not None
     # Targets of one class lie together, so each class is one product over a slice.
     order = np.argsort(targets // size, kind="stable")
@@ -196,21 +210,24 @@ def log_probabilities(w: dict[str, np.ndarray], states: np.ndarray, targets: np.
     back = None
     if learning:
         slope /= len(targets)
-        grads["class_w"], grads["class_b"] = states.T @ slope, slope.sum(axis=0)
+        np.matmul(states.T, slope, out=_place(grads, "class_w", w["class_w"]))
+        np.sum(slope, axis=0, out=_place(grads, "class_b", w["class_b"]))
         back = slope @ w["class_w"].T
-        grads["word_w"], grads["word_b"] = np.zeros_like(w["word_w"]), np.zeros_like(w["word_b"])
     edges = np.flatnonzero(np.r_[True, np.diff(group) != 0, True]).tolist()
     classes = group[edges[:-1]].tolist()
-    scores = w["word_b"][group]
+    scores = np.empty((len(states), size), scores.dtype)
     for c, a, b in zip(classes, edges[:-1], edges[1:]):
-        scores[a:b] += states[a:b] @ w["word_w"][c]
+        part = np.matmul(states[a:b], w["word_w"][c], out=scores[a:b])
+        part += w["word_b"][c]
     inside, slope = _picked(scores, place, learning, moderate)
     found += inside
     if learning:
         slope /= len(targets)
-        grads["word_b"][classes] = np.add.reduceat(slope, edges[:-1])
+        of_w, of_b = _place(grads, "word_w", w["word_w"]), _place(grads, "word_b", w["word_b"])
+        ones = np.ones((1, len(slope)), slope.dtype)
         for c, a, b in zip(classes, edges[:-1], edges[1:]):
-            grads["word_w"][c] = states[a:b].T @ slope[a:b]
+            np.matmul(states[a:b].T, slope[a:b], out=of_w[c])
+            np.matmul(ones[:, : b - a], slope[a:b], out=of_b[c : c + 1])
             back[a:b] += slope[a:b] @ w["word_w"][c].T
     unsorted = np.empty_like(found)
     unsorted[order] = found
@@ -221,11 +238,30 @@ def log_probabilities(w: dict[str, np.ndarray], states: np.ndarray, targets: np.
     return unsorted, back
 
 
+def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of the rows of each. Most keys have one row or a few, which need no call of their own."""
+    order = np.argsort(keys, kind="stable")
+    in_order = keys[order]
+    firsts = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+    sizes = np.diff(np.r_[firsts, len(order)])
+    rows = rows.take(order, axis=0)
+    sums = rows.take(firsts, axis=0)
+    few = np.flatnonzero((sizes > 1) & (sizes <= 4))
+    for k in (1, 2, 3):
+        here = few[sizes[few] > k]
+        sums[here] += rows.take(firsts[here] + k, axis=0)
+    many = np.flatnonzero(sizes > 4)
+    ones = np.ones((1, int(sizes.max())), rows.dtype)
+    for i, a, n in zip(many.tolist(), firsts[many].tolist(), sizes[many].tolist()):
+        np.matmul(ones[:, :n], rows[a : a + n], out=sums[i : i + 1])
+    return in_order[firsts], sums
+
+
 def _through_time(w: dict[str, np.ndarray], inputs: np.ndarray, starts: np.ndarray, kept: tuple, back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
     """Slopes of the recurrent weights from those of the states, back to the window's first step."""
     units = back.shape[2]
     before, keep, reset, new = kept
-    begun = (~starts).astype(back.dtype)[:, :, None]
+    begun, any_begun = (~starts).astype(back.dtype)[:, :, None], starts.any(axis=1)
     of_new = (1 - keep) * (1 - new * new)
     of_keep = (before - new) * keep * (1 - keep)
     of_reset = before * reset * (1 - reset)
@@ -243,15 +279,13 @@ def _through_time(w: dict[str, np.ndarray], inputs: np.ndarray, starts: np.ndarr
         carried *= keep[t]
         carried += through
         carried += d_both @ turn
-        carried *= begun[t]
+        if any_begun[t]:
+            carried *= begun[t]
     rows = given.reshape(-1, 3 * units)
-    grads["turn"] = before.reshape(-1, units).T @ rows[:, : 2 * units]
-    grads["fresh"] = (reset * before).reshape(-1, units).T @ rows[:, 2 * units :]
-    flat, slopes = inputs.ravel(), given.reshape(-1, 3 * units)
-    order = np.argsort(flat, kind="stable")
-    firsts = np.flatnonzero(np.r_[True, np.diff(flat[order]) != 0])
-    grads["gates"] = np.zeros_like(w["gates"])
-    grads["gates"][flat[order][firsts]] = np.add.reduceat(slopes[order], firsts)
+    np.matmul(before.reshape(-1, units).T, rows[:, : 2 * units], out=_place(grads, "turn", w["turn"]))
+    np.matmul((reset * before).reshape(-1, units).T, rows[:, 2 * units :], out=_place(grads, "fresh", w["fresh"]))
+    symbols, sums = _sums(rows, inputs.ravel())
+    _place(grads, "gates", w["gates"])[symbols] = sums
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -267,51 +301,73 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, n
         heapq.heapreplace(heap, (size + len(docs[i]), k, own))
     heap.sort(key=lambda x: (-x[0], x[1]))
     sizes = np.array([h[0] for h in heap])
-    targets = [np.concatenate([docs[i] for i in own]) for _, _, own in heap]
-    owners = [np.repeat(own, [len(docs[i]) for i in own]) for _, _, own in heap]
-    for at in range(0, int(sizes.max(initial=0)), WINDOW):
-        b = int((sizes > at).sum())
-        steps = int(min(WINDOW, sizes[0] - at))
-        inp, tgt, own = np.zeros((steps, b), np.int64), np.zeros((steps, b), np.int64), np.full((steps, b), -1, np.int64)
-        for k in range(b):
+    targets = [np.concatenate([docs[i] for i in own]).astype(np.int32) for _, _, own in heap]
+    owners = [np.repeat(np.array(own, np.int32), [len(docs[i]) for i in own]) for _, _, own in heap]
+    for at in range(0, int(sizes.max(initial=0)), STRETCH):
+        wide = int((sizes > at).sum())
+        steps = int(min(STRETCH, sizes[0] - at))
+        inp, tgt, own = np.zeros((steps, wide), np.int64), np.zeros((steps, wide), np.int64), np.full((steps, wide), -1, np.int64)
+        for k in range(wide):
             part = targets[k][at : at + steps]
             tgt[: len(part), k], own[: len(part), k] = part, owners[k][at : at + steps]
             before = targets[k][max(at - 1, 0) : at - 1 + len(part)]
             inp[len(part) - len(before) : len(part), k] = before
-        # The end symbol comes before the first word of a document, and only there.
-        starts = inp == END
-        yield inp, tgt, starts, own
+        for a in range(0, steps, WINDOW):
+            here = slice(a, a + WINDOW), slice(0, int((sizes > at + a).sum()))
+            window = [np.ascontiguousarray(x[here]) for x in (inp, tgt, own)]
+            # The end symbol comes before the first word of a document, and only there.
+            yield window[0], window[1], window[0] == END, window[2]
+
+
+def _laid_out(like: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """One flat array of zeros and its parts by the names and shapes of ``like``."""
+    flat, parts, at = np.zeros(sum(v.size for v in like.values()), np.float32), {}, 0
+    for k, v in like.items():
+        parts[k] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return flat, parts
 
 
 def train(w: dict[str, np.ndarray], docs: list[np.ndarray], step: float = 0.01) -> dict[str, np.ndarray]:
     """One pass of truncated backpropagation with adaptive moments over the documents."""
-    w = {k: v.copy() for k, v in w.items()}
-    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    flat, own_w = _laid_out(w)
+    for k, v in w.items():
+        own_w[k][...] = v
+    w = own_w
+    slopes, grads = _laid_out(w)
+    # The moments lack their factors 0.1 and 0.01, which cancel but for the small constant.
+    mean, square = np.zeros_like(flat), np.zeros_like(flat)
+    room = np.empty(STEP_BLOCK, np.float32)
     state, turn = np.zeros((min(TRAIN_LANES, len(docs)), w["fresh"].shape[0]), np.float32), 0
     for inp, tgt, starts, own in lanes_of(docs, TRAIN_LANES):
         states, kept = run_window(w, inp, starts, state[: inp.shape[1]])
         real = own >= 0
-        grads: dict[str, np.ndarray] = {}
-        _, slope = log_probabilities(w, states[real], tgt[real], grads)
-        back = np.zeros_like(states)
-        back[real] = slope
+        slopes.fill(0)
+        if real.all():
+            _, back = log_probabilities(w, states.reshape(-1, states.shape[2]), tgt.ravel(), grads)
+            back = back.reshape(states.shape)
+        else:
+            back = np.zeros_like(states)
+            _, back[real] = log_probabilities(w, states[real], tgt[real], grads)
         _through_time(w, inp, starts, kept, back, grads)
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        norm = math.sqrt(float(slopes @ slopes))
         turn += 1
-        rate = step * math.sqrt(1 - 0.99**turn) / (1 - 0.9**turn)
-        for k, g in grads.items():
-            g *= np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            mean[k] *= np.float32(0.9)
-            mean[k] += np.float32(0.1) * g
+        rate = np.float32(step * math.sqrt(1 - 0.99**turn) / (1 - 0.9**turn))
+        for at in range(0, len(flat), STEP_BLOCK):
+            part = slice(at, min(at + STEP_BLOCK, len(flat)))
+            g, m, q, r = slopes[part], mean[part], square[part], room[: part.stop - at]
+            if norm > 1:
+                g *= np.float32(1 / (norm + 1e-9))
+            m *= np.float32(0.9)
+            m += g
             np.square(g, out=g)
-            g *= np.float32(0.01)
-            square[k] *= np.float32(0.99)
-            square[k] += g
-            spread = np.sqrt(square[k])
-            spread += np.float32(1e-6)
-            np.divide(mean[k], spread, out=spread)
-            spread *= np.float32(rate)
-            w[k] -= spread
+            q *= np.float32(0.99)
+            q += g
+            np.sqrt(q, out=r)
+            r += np.float32(1e-5)
+            np.divide(m, r, out=r)
+            r *= rate
+            flat[part] -= r
         state = states[-1]
     return w
 
@@ -349,10 +405,18 @@ def _word_index(words: list[bytes], memo_key: str) -> dict[bytes, int]:
     return memo[memo_key]
 
 
-def _symbols(places: list[int], vocabulary: int) -> np.ndarray:
+def _places(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+    """Table place of each word, -1 for the others."""
+    return np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+
+
+def _symbols(places: np.ndarray, vocabulary: int) -> np.ndarray:
     """Symbols of table places, then the end."""
-    at = np.array([*places, -2], np.int64)
-    return np.where(at == -2, END, np.where((at >= 0) & (at < vocabulary), at + 2, RARE))
+    out = np.empty(len(places) + 1, np.int32)
+    np.add(places, 2, out=out[:-1])
+    out[:-1][(places < 0) | (places >= vocabulary)] = RARE
+    out[-1] = END
+    return out
 
 
 def _averaged(copies: DataFrame, workers: int) -> np.ndarray:
@@ -406,7 +470,7 @@ def learn(docs: DataFrame, vocabulary: int = VOCABULARY, table: int = TABLE, one
         lists, held, seen, number = [], 0, 0, None
         for batch in small_batches(batches):
             for text in texts_of(batch):
-                lists.append(_symbols([index.get(x, -1) for x in words_of(text)], size))
+                lists.append(_symbols(_places(words_of(text), index), size))
                 held += len(lists[-1])
             if held > GROUP_TOKENS:
                 w, seen, lists, held = train(w, lists), seen + held, [], 0
@@ -465,10 +529,9 @@ def score_with(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 arrow = [batch.schema.field(0), batch.schema.field(1), batch.schema.field(2), *(pa.field("", k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())))]
             for row, doc_id, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(3)), texts_of(batch)):
                 tokens = words_of(text)
-                places = [index.get(x, -1) for x in tokens]
-                at = np.array(places, np.int64)
-                known = at[at >= 0]
-                other = Counter(x for x, p in zip(tokens, places) if p < 0) if len(known) < len(tokens) else {}
+                places = _places(tokens, index)
+                known = places[places >= 0]
+                other = Counter(tokens[i] for i in np.flatnonzero(places < 0).tolist())
                 lists.append(_symbols(places, size))
                 heads.append((row, doc_id, held_out, len(tokens) + 1, len(known) + (ends > 0), float(base_of[known].sum()) + end_base, float(rare_of[known].sum()), list(other), list(other.values())))
                 held += len(tokens) + 1
