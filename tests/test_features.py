@@ -243,7 +243,7 @@ def test_ring_state_serves_groups_of_keys(spark, tmp_path, monkeypatch):
             got = live.run_to_table(stream, f"{tmp_path}/table", f"{tmp_path}/state")
     state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "ring").load(f"{tmp_path}/state")
     assert state.count() <= 2
-    counts = hourly_counts(given.fillna(-1), DemandConfig())
+    counts = hourly_counts(given, DemandConfig())
     counts = counts.filter("hour < timestamp'2024-07-11 17:00:00'")  # two hours before the last trip
     want = _features(_dense(counts), "pickup_count", DemandConfig()).select(*got.columns)
     shown = lambda df: sorted(tuple(round(-1.0 if v is None else v, 6) if i > 1 else str(v) for i, v in enumerate(r)) for r in df.fillna(-1, ["PULocationID"]).collect())

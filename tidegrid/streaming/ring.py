@@ -140,14 +140,16 @@ def live_ring_features(
     trips: DataFrame, origin: int, time: str = "pickup_dt", delay: str = "2 hours", config: DemandConfig = DEFAULT
 ) -> DataFrame:
     """Count, lags and rolling statistics of every key and closed hour since ``origin`` (epoch
-    seconds of an hour), quiet hours included. Start it inside ``keyed_state``."""
+    seconds of an hour), quiet hours included. A null key counts no trips, as on the dense grid.
+    Start it inside ``keyed_state``."""
     if origin % _HOUR:
         raise ValueError("origin must be the start of an hour")
     counts = trips.withWatermark(time, delay).groupBy(F.window(time, "1 hour").alias("w"), config.key).agg(F.count(F.lit(1)).cast("int").alias("n"))
     # Text as the type of the key in the state serves every type, nulls too.
     hourly = counts.select(
         F.pmod(F.xxhash64(config.key), F.lit(GROUPS)).cast("int").alias("group"), F.col(config.key).cast("string").alias("key"),
-        F.window_time("w").alias("at"), F.unix_timestamp("w.start").alias("second"), "n",
+        F.window_time("w").alias("at"), F.unix_timestamp("w.start").alias("second"),
+        F.when(F.col(config.key).isNotNull(), F.col("n")).otherwise(0).alias("n"),
     )
     ring = HourRing(origin, max(*config.lags, *config.windows))
     spans = hourly.groupBy("group").transformWithStateInPandas(ring, "key string, second long, hours int, counts binary", "Append", "EventTime")
