@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,3 +541,63 @@ def test_training_in_blocks_is_one_pass_of_adaptive_moments(monkeypatch):
         state = states[-1]
     for k in w:
         assert np.allclose(got[k], w[k], atol=5e-3), k
+
+
+def test_words_of_a_batch_are_the_words_of_each_text():
+    from tidegrid.llm.common import words_in, words_of
+
+    texts = [" a  B\tc\n", "", "   ", None, "x", "\x0b\x0cy\x1cz\x85 \u3000k\xc4A\rq", "\u00a0", "ABC " * 50]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for rows in (batch, batch.slice(2, 4), batch.slice(0, 0)):
+        words, counts = words_in(rows)
+        want = [words_of((t or "").encode()) for t in rows.column(0).to_pylist()]
+        assert words.to_pylist() == [w for own in want for w in own] and counts.tolist() == [len(own) for own in want]
+
+
+def test_symbols_that_pause_take_all_steps_of_the_optimiser(monkeypatch):
+    """Gates of symbols outside a window are made good later; scoring keeps one step of what only learning needs."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(language_model, "TRAIN_LANES", 2)
+    docs = [np.array([*(rng.integers(1, 8, 24) if k % 45 else np.full(24, 9)), 0], np.int32) for k in range(260)]
+    first = language_model.first_weights(rng.integers(1, 50, 10).astype(float), units=4)
+    got = language_model.train(first, docs)
+
+    # The gates of symbol 9 stand still for some twenty windows on end, and there are more than 64 windows.
+    w, mean, square = {k: v.astype(np.float64) for k, v in first.items()}, {k: 0.0 for k in first}, {k: 0.0 for k in first}
+    state, windows, idle = np.zeros((2, 4)), list(language_model.lanes_of(docs, 2)), 0
+    assert len(windows) > 130
+    for turn, (inp, tgt, starts, own) in enumerate(windows, 1):
+        idle += not (inp == 9).any()
+        states, kept = language_model.run_window(w, inp, starts, state[: inp.shape[1]])
+        real, grads, back = own >= 0, {}, np.zeros_like(states)
+        _, back[real] = language_model.log_probabilities(w, states[real], tgt[real], grads)
+        language_model._through_time(w, inp, starts, kept, back, grads)
+        norm = math.sqrt(sum((g * g).sum() for g in grads.values()))
+        for k, g in grads.items():
+            g = g * min(1.0, 1.0 / (norm + 1e-9))
+            mean[k], square[k] = 0.9 * mean[k] + g, 0.99 * square[k] + g * g
+            w[k] -= 0.01 * math.sqrt(1 - 0.99**turn) / (1 - 0.9**turn) * mean[k] / (np.sqrt(square[k]) + 1e-5)
+        state = states[-1]
+    assert idle > 100
+    for k in w:
+        assert np.allclose(got[k], w[k], atol=2e-2), (k, np.abs(got[k] - w[k]).max())
+    inp, _, starts, _ = windows[3]
+    states, kept = language_model.run_window(got, inp, starts, np.zeros((2, 4), np.float32))
+    lean, little = language_model.run_window(got, inp, starts, np.zeros((2, 4), np.float32), learning=False)
+    assert np.array_equal(states, lean) and {len(x) for x in kept} == {len(inp)} and {len(x) for x in little} == {1}
+
+
+def test_no_group_of_a_task_is_small(monkeypatch):
+    monkeypatch.setattr(language_model, "GROUP_TOKENS", 1000)
+    rng = random.Random(2)
+    for total in (900, 1010, 1499, 1501, 2100, 4200, 20_050):
+        sizes, groups, left = [], [], total
+        while left:
+            sizes.append(min(rng.randint(1, 150), left))
+            left -= sizes[-1]
+            if n := language_model._full(sizes):
+                groups.append(sum(sizes[:n]))
+                del sizes[:n]
+        groups.append(sum(sizes))
+        assert sum(groups) == total and all(300 < g <= 1500 for g in groups)
+    assert language_model._full([5000]) == 1

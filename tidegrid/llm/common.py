@@ -7,7 +7,9 @@ import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.session import shared_folder
@@ -61,3 +63,17 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def words_of(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case (bytes methods touch ASCII only)."""
     return text.lower().split()
+
+
+def words_in(batch: pa.RecordBatch, column: str = "text") -> tuple[pa.Array, np.ndarray]:
+    """The words (UTF-8 bytes) of all texts, one text after the other, and how many each text has; as ``words_of`` finds them."""
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, counts = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # White space at either end of a text makes an empty word.
+    full = pc.greater(pc.binary_length(words), 0)
+    empty = np.flatnonzero(~full.to_numpy(zero_copy_only=False))
+    if len(empty):
+        counts -= np.bincount(np.searchsorted(np.cumsum(counts), empty, side="right"), minlength=len(counts))
+        words = words.filter(full)
+    return words, counts

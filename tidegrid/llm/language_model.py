@@ -25,17 +25,16 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.common import process_memo, small_batches, stash, texts_of, words_of
+from tidegrid.llm.common import small_batches, stash, words_in
 from tidegrid.llm.language import remainder_of_id
 
 VOCABULARY = 4094
@@ -48,12 +47,15 @@ TRAIN_LANES, SCORE_LANES = 128, 256
 #: Of the learning documents one in so many (by a hash of doc_id) trains the network: all of them.
 TRAIN_ONE_IN = 1
 WORKER_TOKENS = 4_000_000
-#: Tokens held at once. Lanes are filled from them, so many more than the longest text times the
+#: Tokens of a group (up to half as many more are held). Lanes are filled from them, so many more than the longest text times the
 #: lanes keep windows full: a window of few lanes costs nearly as much as a full one.
 GROUP_TOKENS = 4_000_000
 #: Weights that one step of the optimiser touches at once (they stay in the cache).
-STEP_BLOCK = 65536
-HELD_WORDS = 300_000
+STEP_BLOCK = 16384
+#: Rows of a product: blocks of few rows are multiplied without being copied first.
+ROWS = 256
+#: Of words that are counted at once.
+HELD_BYTES = 32 << 20
 BLOCK = 8192
 END, RARE = 0, 1
 
@@ -62,19 +64,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (UTF-8 bytes) and n over all rows of (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            words = list(held)
-            for at in range(0, len(words), 65536):
-                part = words[at : at + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([held[w] for w in part], pa.int64())], names=["word", "n"])
+            found = pc.value_counts(pa.chunked_array(held, pa.binary()))
             held.clear()
+            batch = pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+            for at in range(0, len(batch), 65536):
+                yield batch.slice(at, 65536)
 
         for batch in small_batches(batches):
-            for text in texts_of(batch):
-                held.update(words_of(text))
-            if len(held) > HELD_WORDS:
+            held.append(words_in(batch)[0])
+            if sum(x.nbytes for x in held) > HELD_BYTES:
                 yield from out()
         yield from out()
 
@@ -124,42 +125,44 @@ def first_weights(counts: np.ndarray, units: int = UNITS, seed: int = 3) -> dict
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """Of ``x``, in place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+    x *= 0.5
+    np.tanh(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
-
+    x *= 0.5
+    return x
 
-def _tanh(x: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """By the exponential, which is several times faster."""
-    np.multiply(x, -2, out=out)
-    np.exp(out, out=out)
-    out += 1
-    np.divide(2, out, out=out)
-    out -= 1
-    return out
 
+def run_window(w: dict[str, np.ndarray], inputs: np.ndarray, starts: np.ndarray, state: np.ndarray, learning: bool = True) -> tuple[np.ndarray, tuple]:
+    """States after every step of (time, lane) inputs, and with ``learning`` what the way back needs.
 
-def run_window(w: dict[str, np.ndarray], inputs: np.ndarray, starts: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States after every step of (time, lane) inputs, and what the way back needs."""
-    units = state.shape[1]
-    given = w["gates"].take(inputs, axis=0)
-    kind = np.result_type(state, given)
-    states, before, new = (np.empty((*inputs.shape, units), kind) for _ in range(3))
-    gates = np.empty((*inputs.shape, 2 * units), kind)
-    begun = (~starts).astype(kind)[:, :, None]
-    for t in range(len(inputs)):
-        state = np.multiply(state, begun[t], out=before[t])
-        both = np.matmul(state, w["turn"], out=gates[t])
-        both += given[t, :, : 2 * units]
+    The gates lie apart, as (gate, lane, unit), so that every pass runs over whole blocks.
+    """
+    units, (steps, lanes) = state.shape[1], inputs.shape
+    rows, places = w["gates"].reshape(-1, units), inputs[:, None, :] * 3 + np.arange(3)[:, None]
+    kind, rooms = np.result_type(state, rows), steps if learning else 1
+    states, given = np.empty((steps, lanes, units), kind), np.empty((3, lanes, units), rows.dtype)
+    before, taken, new = (np.empty((rooms, lanes, units), kind) for _ in range(3))
+    gates = np.empty((rooms, 2, lanes, units), kind)
+    turn = np.ascontiguousarray(w["turn"].reshape(units, 2, units).swapaxes(0, 1))
+    begun, any_begun = (~starts).astype(kind)[:, :, None], starts.any(axis=1)
+    for t in range(steps):
+        at = t % rooms
+        rows.take(places[t], axis=0, out=given, mode="clip")
+        if any_begun[t]:
+            np.multiply(state, begun[t], out=before[at])
+        else:
+            before[at] = state
+        state = before[at]
+        both = np.matmul(state, turn, out=gates[at])
+        both += given[:2]
         _sigmoid(both)
-        made = (both[:, units:] * state) @ w["fresh"]
-        made += given[t, :, 2 * units :]
-        made = _tanh(made, out=new[t])
+        made = np.matmul(np.multiply(both[1], state, out=taken[at]), w["fresh"], out=new[at])
+        made += given[2]
+        np.tanh(made, out=made)
         state = np.subtract(state, made, out=states[t])
-        state *= both[:, :units]
+        state *= both[0]
         state += made
-    return states, (before, gates[:, :, :units], gates[:, :, units:], new)
+    return states, (before, taken, gates, new)
 
 
 def _moderate(w: dict[str, np.ndarray]) -> bool:
@@ -173,18 +176,19 @@ def _moderate(w: dict[str, np.ndarray]) -> bool:
 
 
 def _picked(x: np.ndarray, place: np.ndarray, slope: bool, moderate: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-softmax of each row at its place (``x`` is used up), and with ``slope`` the softmax less one there."""
-    rows = np.arange(len(x))
+    """Log-softmax of each row at its place (``x`` is used up), and with ``slope`` the slope of its negative mean."""
+    flat, at = x.reshape(-1), np.arange(0, x.size, x.shape[1]) + place
     if not moderate:
         x -= x.max(axis=1, keepdims=True)
-    chosen = x[rows, place]
+    chosen = flat.take(at)
     np.exp(x, out=x)
-    total = x @ np.ones((x.shape[1], 1), x.dtype)
-    found = chosen - np.log(total[:, 0])
+    total = (x @ np.ones((x.shape[1], 1), x.dtype))[:, 0]
+    found = chosen - np.log(total)
     if not slope:
         return found, None
-    x /= total
-    x[rows, place] -= 1
+    flat[at] -= total
+    total *= len(x)
+    x *= np.reciprocal(total, out=total)[:, None]
     return found, x
 
 
@@ -195,56 +199,80 @@ def _place(grads: dict[str, np.ndarray], name: str, like: np.ndarray) -> np.ndar
     return grads[name]
 
 
-def log_probabilities(w: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log-probability of each target; with ``grads`` (arrays of zeros, or empty) also the slope of their negative mean."""
-    size, learning = w["word_b"].shape[1], grads is not None
+def log_probabilities(
+    w: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray, grads: dict[str, np.ndarray] | None = None, moderate: bool | None = None
+) -> tuple[np.ndarray, np.ndarray | None]:
+    """Natural log-probability of each target; with ``grads`` (arrays of zeros, or empty) also the slope of their negative mean.
+
+    ``moderate`` is what ``_moderate`` says of the weights, for callers that know it.
+    """
+    (n, units, size), learning = w["word_w"].shape, grads is not None
+    moderate = _moderate(w) if moderate is None else moderate
     # Targets of one class lie together, so each class is one product over a slice.
-    order = np.argsort(targets // size, kind="stable")
-    states = states[order]
-    group, place = np.divmod(targets[order], size)
-    scores = states @ w["class_w"]
-    scores += w["class_b"]
-    moderate = _moderate(w)
+    group = (targets // size).astype(np.uint16 if n <= 65536 else np.int64)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    place = targets[order] - group.astype(np.int64) * size
+    # A last column of ones meets the bias as a last row of the weights.
+    given = np.ones((len(states), units + 1), states.dtype)
+    given[:, :units] = states.take(order, axis=0)
+    of_class = np.concatenate([w["class_w"], w["class_b"][None]])
+    of_word = np.concatenate([w["word_w"], w["word_b"][:, None]], axis=1)
+    # Products of few rows at a time, which is faster than one over all rows.
+    scores = np.empty((len(states), of_class.shape[1]), np.result_type(given, of_class))
+    blocks = [slice(a, a + ROWS) for a in range(0, len(states), ROWS)]
+    for b in blocks:
+        np.matmul(given[b], of_class, out=scores[b])
     found, slope = _picked(scores, group, learning, moderate)
-    found = found.astype(np.float64)
-    back = None
+    found, back = found.astype(np.float64), None
     if learning:
-        slope /= len(targets)
-        np.matmul(states.T, slope, out=_place(grads, "class_w", w["class_w"]))
-        np.sum(slope, axis=0, out=_place(grads, "class_b", w["class_b"]))
-        back = slope @ w["class_w"].T
-    edges = np.flatnonzero(np.r_[True, np.diff(group) != 0, True]).tolist()
-    classes = group[edges[:-1]].tolist()
+        slopes, room = np.zeros_like(of_class), np.empty_like(of_class)
+        back, toward = np.empty((len(states), units), scores.dtype), w["class_w"].T
+        for b in blocks:
+            slopes += np.matmul(given[b].T, slope[b], out=room)
+            np.matmul(slope[b], toward, out=back[b])
+        _place(grads, "class_w", w["class_w"])[...] = slopes[:units]
+        _place(grads, "class_b", w["class_b"])[...] = slopes[units]
+    edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else [0]
+    slices = [(c, slice(at, min(at + ROWS, b))) for c, a, b in zip(group[edges[:-1]].tolist(), edges[:-1], edges[1:]) for at in range(a, b, ROWS)]
     scores = np.empty((len(states), size), scores.dtype)
-    for c, a, b in zip(classes, edges[:-1], edges[1:]):
-        part = np.matmul(states[a:b], w["word_w"][c], out=scores[a:b])
-        part += w["word_b"][c]
+    for c, b in slices:
+        np.dot(given[b], of_word[c], out=scores[b])
     inside, slope = _picked(scores, place, learning, moderate)
     found += inside
     if learning:
-        slope /= len(targets)
-        of_w, of_b = _place(grads, "word_w", w["word_w"]), _place(grads, "word_b", w["word_b"])
-        ones = np.ones((1, len(slope)), slope.dtype)
-        for c, a, b in zip(classes, edges[:-1], edges[1:]):
-            np.matmul(states[a:b].T, slope[a:b], out=of_w[c])
-            np.matmul(ones[:, : b - a], slope[a:b], out=of_b[c : c + 1])
-            back[a:b] += slope[a:b] @ w["word_w"][c].T
+        slopes, toward = np.zeros_like(of_word), w["word_w"].swapaxes(1, 2)
+        room, part, last = np.empty_like(back), np.empty_like(slopes[0]), -1
+        for c, b in slices:
+            if c == last:
+                slopes[c] += np.dot(given[b].T, slope[b], out=part)
+            else:
+                np.dot(given[b].T, slope[b], out=slopes[c])
+            np.dot(slope[b], toward[c], out=room[b])
+            last = c
+        back += room
+        _place(grads, "word_w", w["word_w"])[...] = slopes[:, :units]
+        _place(grads, "word_b", w["word_b"])[...] = slopes[:, units]
     unsorted = np.empty_like(found)
     unsorted[order] = found
     if learning:
-        given = np.empty_like(back)
-        given[order] = back
-        back = given
+        room[order] = back
+        back = room
     return unsorted, back
 
 
-def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys and the sum of the rows of each. Most keys have one row or a few, which need no call of their own."""
+def _sums(rows: np.ndarray, keys: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sum of the rows of each. Most keys have one row or a few, which need no call of their own.
+
+    With ``places`` the row of a key consists of the rows at its places.
+    """
+    # Short keys are sorted by their digits.
+    keys = keys.astype(np.uint16) if keys.max(initial=0) < 65536 else keys
     order = np.argsort(keys, kind="stable")
     in_order = keys[order]
-    firsts = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
-    sizes = np.diff(np.r_[firsts, len(order)])
-    rows = rows.take(order, axis=0)
+    firsts = np.concatenate([[0], np.flatnonzero(in_order[1:] != in_order[:-1]) + 1])
+    sizes = np.diff(firsts, append=len(order))
+    rows = rows.take(order if places is None else places.take(order, axis=0), axis=0).reshape(len(order), -1)
     sums = rows.take(firsts, axis=0)
     few = np.flatnonzero((sizes > 1) & (sizes <= 4))
     for k in (1, 2, 3):
@@ -254,38 +282,60 @@ def _sums(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ones = np.ones((1, int(sizes.max())), rows.dtype)
     for i, a, n in zip(many.tolist(), firsts[many].tolist(), sizes[many].tolist()):
         np.matmul(ones[:, :n], rows[a : a + n], out=sums[i : i + 1])
-    return in_order[firsts], sums
+    return in_order[firsts].astype(np.int64), sums
+
 
+def _through_time(
+    w: dict[str, np.ndarray], inputs: np.ndarray, starts: np.ndarray, kept: tuple, back: np.ndarray, grads: dict[str, np.ndarray], whole: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the recurrent weights from those of the states, back to the window's first step.
 
-def _through_time(w: dict[str, np.ndarray], inputs: np.ndarray, starts: np.ndarray, kept: tuple, back: np.ndarray, grads: dict[str, np.ndarray]) -> None:
-    """Slopes of the recurrent weights from those of the states, back to the window's first step."""
-    units = back.shape[2]
-    before, keep, reset, new = kept
+    Returns the symbols of the window and the slopes of their gates (the others have none);
+    with ``whole`` these are among the slopes of ``grads`` too.
+    """
+    steps, lanes, units = back.shape
+    before, taken, gates, new = kept
     begun, any_begun = (~starts).astype(back.dtype)[:, :, None], starts.any(axis=1)
-    of_new = (1 - keep) * (1 - new * new)
-    of_keep = (before - new) * keep * (1 - keep)
-    of_reset = before * reset * (1 - reset)
-    given = np.empty((*inputs.shape, 3 * units), back.dtype)
-    carried = np.zeros(back.shape[1:], back.dtype)
-    turn, fresh = w["turn"].T.copy(), w["fresh"].T.copy()
-    for t in range(len(inputs) - 1, -1, -1):
+    given = np.empty((steps, 3, lanes, units), back.dtype)
+    carried, kept_part, room = (np.zeros((lanes, units), back.dtype) for _ in range(3))
+    both = np.empty((2, lanes, units), back.dtype)
+    turn, fresh = np.ascontiguousarray(w["turn"].T).reshape(2, units, units), w["fresh"].T.copy()
+    to_turn, to_fresh, part = np.zeros_like(turn), np.zeros_like(fresh), np.empty_like(turn)
+    for t in range(steps - 1, -1, -1):
+        (keep, reset), (of_keep, of_reset, of_new) = gates[t], given[t]
         carried += back[t]
-        d_both, d_new = given[t, :, : 2 * units], given[t, :, 2 * units :]
-        np.multiply(carried, of_new[t], out=d_new)
-        through = d_new @ fresh
-        np.multiply(carried, of_keep[t], out=d_both[:, :units])
-        np.multiply(through, of_reset[t], out=d_both[:, units:])
-        through *= reset[t]
-        carried *= keep[t]
-        carried += through
-        carried += d_both @ turn
+        np.multiply(carried, keep, out=kept_part)
+        # (1 - new^2) (1 - keep) carried
+        np.subtract(carried, kept_part, out=carried)
+        np.multiply(new[t], new[t], out=room)
+        room *= carried
+        np.subtract(carried, room, out=of_new)
+        # (before - new) keep (1 - keep) carried
+        np.multiply(kept_part, keep, out=room)
+        np.subtract(kept_part, room, out=room)
+        np.subtract(before[t], new[t], out=of_keep)
+        of_keep *= room
+        through = of_new @ fresh
+        # before reset (1 - reset) through
+        through *= reset
+        np.multiply(through, reset, out=room)
+        np.subtract(through, room, out=room)
+        np.multiply(room, before[t], out=of_reset)
+        np.matmul(given[t, :2], turn, out=both)
+        to_turn += np.matmul(before[t].T, given[t, :2], out=part)
+        to_fresh += np.dot(taken[t].T, of_new, out=part[0])
+        np.add(kept_part, through, out=carried)
+        carried += both[0]
+        carried += both[1]
         if any_begun[t]:
             carried *= begun[t]
-    rows = given.reshape(-1, 3 * units)
-    np.matmul(before.reshape(-1, units).T, rows[:, : 2 * units], out=_place(grads, "turn", w["turn"]))
-    np.matmul((reset * before).reshape(-1, units).T, rows[:, 2 * units :], out=_place(grads, "fresh", w["fresh"]))
-    symbols, sums = _sums(rows, inputs.ravel())
-    _place(grads, "gates", w["gates"])[symbols] = sums
+    _place(grads, "turn", w["turn"]).reshape(units, 2, units)[...] = to_turn.swapaxes(0, 1)
+    _place(grads, "fresh", w["fresh"])[...] = to_fresh
+    places = (np.arange(steps)[:, None] * 3 * lanes + np.arange(lanes)).reshape(-1, 1) + np.arange(3) * lanes
+    symbols, sums = _sums(given.reshape(-1, units), inputs.ravel(), places)
+    if whole:
+        _place(grads, "gates", w["gates"])[symbols] = sums
+    return symbols, sums
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -335,51 +385,91 @@ def train(w: dict[str, np.ndarray], docs: list[np.ndarray], step: float = 0.01)
         own_w[k][...] = v
     w = own_w
     slopes, grads = _laid_out(w)
-    # The moments lack their factors 0.1 and 0.01, which cancel but for the small constant.
-    mean, square = np.zeros_like(flat), np.zeros_like(flat)
+    # The gates lie first; their moments are rows of (mean, square) by symbol.
+    gates, split = w["gates"], w["gates"].size
+    dense, rest = slopes[split:], flat[split:]
+    # The moments lack their factors 0.1 and 0.01, which cancel but for the small constant. Their decay is
+    # left to the factors of a step: a mean times ``decay``, a root times ``decay_root`` is the true one.
+    mean, square = np.zeros_like(dense), np.zeros_like(dense)
+    moments = np.zeros((len(gates), 2 * gates.shape[1]), np.float32)
+    decay = decay_root = 1.0
+    # Symbols outside a window have slopes of zero, so their moments stay and only the factors of the steps differ.
+    # Those are summed (plain, and times the small constant) and made good when the symbol comes next.
+    owed, done = np.zeros(2), np.zeros((len(gates), 2))
     room = np.empty(STEP_BLOCK, np.float32)
-    state, turn = np.zeros((min(TRAIN_LANES, len(docs)), w["fresh"].shape[0]), np.float32), 0
+
+    def caught_up(symbols: np.ndarray) -> np.ndarray:
+        """The moments of the symbols, whose gates have taken all steps so far."""
+        own = moments.take(symbols, axis=0)
+        rates, least = (owed - done[symbols]).T
+        least = np.divide(least, rates, out=np.ones_like(rates), where=rates > 0)
+        move = np.sqrt(own[:, gates.shape[1] :])
+        move += least.astype(np.float32)[:, None]
+        np.divide(own[:, : gates.shape[1]], move, out=move)
+        move *= rates.astype(np.float32)[:, None]
+        gates[symbols] = np.subtract(gates.take(symbols, axis=0), move, out=move)
+        done[symbols] = owed
+        return own
+
+    state, turn, moderate = np.zeros((min(TRAIN_LANES, len(docs)), w["fresh"].shape[0]), np.float32), 0, False
     for inp, tgt, starts, own in lanes_of(docs, TRAIN_LANES):
+        # A step moves a weight by less than 0.025, sixteen steps an output by less than 14 of the 28 in reserve.
+        if turn % 16 == 0:
+            moderate = _moderate(w)
+        read = np.zeros(len(gates), bool)
+        read[inp] = True
+        own_moments = caught_up(np.flatnonzero(read))
         states, kept = run_window(w, inp, starts, state[: inp.shape[1]])
         real = own >= 0
-        slopes.fill(0)
         if real.all():
-            _, back = log_probabilities(w, states.reshape(-1, states.shape[2]), tgt.ravel(), grads)
+            _, back = log_probabilities(w, states.reshape(-1, states.shape[2]), tgt.ravel(), grads, moderate)
             back = back.reshape(states.shape)
         else:
             back = np.zeros_like(states)
-            _, back[real] = log_probabilities(w, states[real], tgt[real], grads)
-        _through_time(w, inp, starts, kept, back, grads)
-        norm = math.sqrt(float(slopes @ slopes))
+            _, back[real] = log_probabilities(w, states[real], tgt[real], grads, moderate)
+        symbols, sums = _through_time(w, inp, starts, kept, back, grads, whole=False)
+        norm = math.sqrt(float(dense @ dense) + float(np.vdot(sums, sums)))
         turn += 1
-        rate = np.float32(step * math.sqrt(1 - 0.99**turn) / (1 - 0.9**turn))
-        for at in range(0, len(flat), STEP_BLOCK):
-            part = slice(at, min(at + STEP_BLOCK, len(flat)))
-            g, m, q, r = slopes[part], mean[part], square[part], room[: part.stop - at]
-            if norm > 1:
-                g *= np.float32(1 / (norm + 1e-9))
-            m *= np.float32(0.9)
-            m += g
-            np.square(g, out=g)
-            q *= np.float32(0.99)
-            q += g
+        decay, decay_root = decay * 0.9, decay_root * math.sqrt(0.99)
+        clip = 1 / (norm + 1e-9) if norm > 1 else 1.0
+        to_mean, to_square = np.float32(clip / decay), np.float32((clip / decay_root) ** 2)
+        rate, least = step * math.sqrt(1 - 0.99**turn) / (1 - 0.9**turn) * decay / decay_root, 1e-5 / decay_root
+        own_moments[:, : sums.shape[1]] += sums * to_mean
+        np.square(sums, out=sums)
+        sums *= to_square
+        own_moments[:, sums.shape[1] :] += sums
+        moments[symbols] = own_moments
+        owed += rate, rate * least
+        for at in range(0, len(dense), STEP_BLOCK):
+            part = slice(at, min(at + STEP_BLOCK, len(dense)))
+            g, m, q, r = dense[part], mean[part], square[part], room[: part.stop - at]
+            m += np.multiply(g, to_mean, out=r)
+            np.square(g, out=r)
+            r *= to_square
+            q += r
             np.sqrt(q, out=r)
-            r += np.float32(1e-5)
+            r += np.float32(least)
             np.divide(m, r, out=r)
-            r *= rate
-            flat[part] -= r
+            r *= np.float32(rate)
+            rest[part] -= r
+        if turn % 64 == 0:  # before the factors leave the range of the numbers
+            caught_up(np.arange(len(gates)))
+            for x, factor in ((mean, decay), (square, decay_root**2), (moments[:, : gates.shape[1]], decay), (moments[:, gates.shape[1] :], decay_root**2)):
+                x *= np.float32(factor)
+            owed[:], done[:], decay, decay_root = 0, 0, 1.0, 1.0
         state = states[-1]
+    caught_up(np.arange(len(gates)))
     return w
 
 
 def score(w: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each symbol list."""
     total = np.zeros(len(docs))
-    state = np.zeros((min(SCORE_LANES, len(docs)), w["fresh"].shape[0]), np.float32)
+    state, moderate = np.zeros((min(SCORE_LANES, len(docs)), w["fresh"].shape[0]), np.float32), _moderate(w)
     for inp, tgt, starts, own in lanes_of(docs, SCORE_LANES):
-        states, _ = run_window(w, inp, starts, state[: inp.shape[1]])
+        states, _ = run_window(w, inp, starts, state[: inp.shape[1]], learning=False)
         real = own >= 0
-        found, _ = log_probabilities(w, states[real], tgt[real])
+        found, _ = log_probabilities(w, states[real], tgt[real], moderate=moderate)
         total += np.bincount(own[real], found, len(docs))
         state = states[-1]
     return total
@@ -397,26 +487,30 @@ def unpacked_weights(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str,
     return out
 
 
-def _word_index(words: list[bytes], memo_key: str) -> dict[bytes, int]:
-    memo = process_memo("lm-words")
-    if memo_key not in memo:
-        memo.clear()
-        memo[memo_key] = {w: i for i, w in enumerate(words)}
-    return memo[memo_key]
+def _places(words: pa.Array, table: pa.Array) -> np.ndarray:
+    """Table place of each word, -1 for the others."""
+    return pc.fill_null(pc.index_in(words, value_set=table), -1).to_numpy()
 
 
-def _places(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-    """Table place of each word, -1 for the others."""
-    return np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+def _symbols(places: np.ndarray, counts: np.ndarray, vocabulary: int) -> list[np.ndarray]:
+    """Symbols of the table places of each text (it has so many ``counts``), then the end."""
+    ends = np.cumsum(counts + 1) - 1
+    out = np.empty(len(places) + len(counts), np.int32)
+    is_word = np.ones(len(out), bool)
+    is_word[ends] = False
+    out[is_word] = np.where((places < 0) | (places >= vocabulary), RARE, places + 2)
+    out[ends] = END
+    return np.split(out, ends[:-1] + 1)
 
 
-def _symbols(places: np.ndarray, vocabulary: int) -> np.ndarray:
-    """Symbols of table places, then the end."""
-    out = np.empty(len(places) + 1, np.int32)
-    np.add(places, 2, out=out[:-1])
-    out[:-1][(places < 0) | (places >= vocabulary)] = RARE
-    out[-1] = END
-    return out
+def _full(sizes: list[int]) -> int:
+    """How many of the batches of so many tokens make a group by now; none until half of the next group is held too.
+
+    So what is left at the end of a task is no small group, whose few lanes would cost nearly as much as a full one's.
+    """
+    if sum(sizes) <= GROUP_TOKENS * 3 // 2:
+        return 0
+    return int(np.searchsorted(np.cumsum(sizes), GROUP_TOKENS)) + 1
 
 
 def _averaged(copies: DataFrame, workers: int) -> np.ndarray:
@@ -449,7 +543,6 @@ class Model:
         self.base_total = self.train_tokens + self.distinct + 1
         self.ends = ends
         self.weights = first_weights(np.concatenate([[ends, rare], counts[: self.vocabulary]]).astype(float))
-        self.key = f"{len(words)}:{tokens}:{ends}:{distinct}:{vocabulary}"
 
 
 def learn(docs: DataFrame, vocabulary: int = VOCABULARY, table: int = TABLE, one_in: int = TRAIN_ONE_IN, worker_tokens: int = WORKER_TOKENS) -> tuple[Model, DataFrame]:
@@ -462,20 +555,27 @@ def learn(docs: DataFrame, vocabulary: int = VOCABULARY, table: int = TABLE, one
     own = docs.filter(F.pmod(F.xxhash64(F.lit(29), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(one_in)) == 0)
     workers = max(1, round(model.train_tokens / one_in / worker_tokens))
     shared = docs.sparkSession.sparkContext.broadcast((model.words[: model.vocabulary], model.weights))
-    key, size = f"train {model.key}", model.vocabulary
+    size = model.vocabulary
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, w = shared.value
-        index = _word_index(words, key)
-        lists, held, seen, number = [], 0, 0, None
+        table = pa.array(words, pa.binary())
+        lists, sizes, seen, number = [], [], 0, None
+
+        def trained(w: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
+            own = [x for batch in lists[:n] for x in batch]
+            del lists[:n], sizes[:n]
+            return train(w, own)
+
         for batch in small_batches(batches):
-            for text in texts_of(batch):
-                lists.append(_symbols(_places(words_of(text), index), size))
-                held += len(lists[-1])
-            if held > GROUP_TOKENS:
-                w, seen, lists, held = train(w, lists), seen + held, [], 0
+            found, counts = words_in(batch)
+            lists.append(_symbols(_places(found, table), counts, size))
+            sizes.append(len(found) + len(counts))
+            seen += sizes[-1]
+            if n := _full(sizes):
+                w = trained(w, n)
         if lists:
-            w, seen = train(w, lists), seen + held
+            w = trained(w, len(lists))
         if seen:
             from pyspark import TaskContext
 
@@ -497,7 +597,7 @@ def learn(docs: DataFrame, vocabulary: int = VOCABULARY, table: int = TABLE, one
 def score_with(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """Rows (doc_id, held_out, text) with the token counts and both scores."""
     shared = docs.sparkSession.sparkContext.broadcast((model.words, model.counts, model.weights))
-    key, size = f"score {model.key}", model.vocabulary
+    size = model.vocabulary
     rare_total, base_total, ends = model.rare_total, model.base_total, model.ends
     schema = T.StructType(
         [
@@ -509,37 +609,45 @@ def score_with(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, times, w = shared.value
-        index = _word_index(words, key)
+        table = pa.array(words, pa.binary())
         base_of = np.log10((times + 1) / base_total)
         rare_of = np.where(np.arange(len(times)) < size, 0.0, np.log10((times + 1) / rare_total))
         end_base = math.log10((ends + 1) / base_total)
-        heads, lists, held = [], [], 0
+        parts, lists, sizes = [], [], []
+
+        def out(n: int) -> Iterator[pa.RecordBatch]:
+            found, done = score(w, [x for batch in lists[:n] for x in batch]) / math.log(10), 0
+            for columns in parts[:n]:
+                columns[6] = pa.array(columns[6] + found[done : done + len(columns[6])])
+                done += len(columns[6])
+                batch = pa.RecordBatch.from_arrays(columns, names=schema.names)
+                for at in range(0, len(batch), 1024):
+                    yield batch.slice(at, 1024)
+            del parts[:n], lists[:n], sizes[:n]
 
-        def out() -> Iterator[pa.RecordBatch]:
-            found = score(w, lists) / math.log(10) if lists else []
-            for at in range(0, len(heads), 1024):
-                part = heads[at : at + 1024]
-                columns = [list(c) for c in zip(*part)]
-                columns[6] = [a + b for a, b in zip(columns[6], found[at : at + 1024])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], names=schema.names)
-
-        arrow = None
         for batch in small_batches(batches):
-            if arrow is None:
-                arrow = [batch.schema.field(0), batch.schema.field(1), batch.schema.field(2), *(pa.field("", k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())))]
-            for row, doc_id, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(3)), texts_of(batch)):
-                tokens = words_of(text)
-                places = _places(tokens, index)
-                known = places[places >= 0]
-                other = Counter(tokens[i] for i in np.flatnonzero(places < 0).tolist())
-                lists.append(_symbols(places, size))
-                heads.append((row, doc_id, held_out, len(tokens) + 1, len(known) + (ends > 0), float(base_of[known].sum()) + end_base, float(rare_of[known].sum()), list(other), list(other.values())))
-                held += len(tokens) + 1
-            if held > GROUP_TOKENS:
-                yield from out()
-                heads, lists, held = [], [], 0
-        if heads:
-            yield from out()
+            tokens, counts = words_in(batch)
+            places, owners = _places(tokens, table), np.repeat(np.arange(len(counts)), counts)
+            lists.append(_symbols(places, counts, size))
+            known, other = np.flatnonzero(places >= 0), np.flatnonzero(places < 0)
+            of_known = owners[known], places[known]
+            sums = [np.bincount(of_known[0], x[of_known[1]], len(counts)) for x in (base_of, rare_of)]
+            # The other words of each text, and how often it has them.
+            coded = tokens.take(pa.array(other)).dictionary_encode()
+            words_of_batch = max(len(coded.dictionary), 1)
+            pairs, often = np.unique(owners[other] * words_of_batch + coded.indices.to_numpy(), return_counts=True)
+            starts = pa.array(np.searchsorted(pairs, np.arange(len(counts) + 1) * words_of_batch), pa.int32())
+            parts.append(
+                [
+                    *batch.columns[:3], pa.array(counts + 1), pa.array(np.bincount(of_known[0], minlength=len(counts)) + (ends > 0)), pa.array(sums[0] + end_base), sums[1],
+                    pa.ListArray.from_arrays(starts, coded.dictionary.take(pa.array(pairs % words_of_batch))), pa.ListArray.from_arrays(starts, pa.array(often, pa.int64())),
+                ]
+            )
+            sizes.append(len(tokens) + len(counts))
+            if n := _full(sizes):
+                yield from out(n)
+        if parts:
+            yield from out(len(parts))
 
     given = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.col("text").cast("string").alias("text"))
     rows = stash(given.mapInArrow(run, schema), "scored")
