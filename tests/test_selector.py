@@ -57,6 +57,36 @@ def test_each_series_gets_its_model(spark, table, tmp_path):
         save_model(object(), path, spark)
 
 
+class NoSpace:
+    def fit(self, train):
+        raise OSError("no space left")
+
+
+class BrokenTask:
+    def fit(self, train):
+        return self
+
+    def predict(self, df):
+        return df.withColumn("prediction", F.expr("cast(raise_error('lost') as double)"))
+
+
+@pytest.mark.parametrize("failing", [ColumnForecast("absent"), BrokenTask(), NoSpace()])
+def test_a_failed_job_is_no_score(table, failing):
+    with pytest.raises(Exception, match="absent|lost|no space left"):
+        SeriesSelector({"failing": failing, "raw": ColumnForecast("a")}, 28, config=CONFIG).fit(table)
+
+
+def test_candidates_that_raise_are_told(spark, table, tmp_path):
+    candidates = {"raw": ColumnForecast("a"), "broken": Broken()}
+    chosen = SeriesSelector(candidates, 28, config=CONFIG).fit(table)
+    save_model(chosen, str(tmp_path / "s"), spark)
+    for model in (chosen, load_model(spark, str(tmp_path / "s"), "selector", CONFIG)):
+        assert model.failures == {"broken": "RuntimeError: no fit"}
+    for strict, tried in ((True, candidates), (False, {"one": Broken(), "two": Broken()})):
+        with pytest.raises(RuntimeError, match="no fit"):
+            SeriesSelector(tried, 28, config=CONFIG, strict=strict).fit(table)
+
+
 def test_selector_without_candidates_or_rows(table):
     with pytest.raises(ValueError):
         SeriesSelector({})
