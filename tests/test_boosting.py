@@ -1,12 +1,16 @@
 """Boosted trees against a plain loop on the driver."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.config import DemandConfig
+from tidegrid.models import boosting
 from tidegrid.models.backtest import BOOSTED_SPACE, tune
 from tidegrid.models.boosting import BoostedTrees, boosting_presets, load_boosted
+from tidegrid.session import small_batches
 
 NAMES = ("a", "b", "c")
 CUTS = {n: tuple(float(i) for i in range(9)) for n in NAMES}
@@ -220,3 +224,54 @@ def test_cut_points_come_from_small_summaries_of_every_task(spark):
     values, weights = boosting._thinned([(known, np.ones(len(known), np.int64))] * 3)
     assert len(values) <= boosting._POINTS and weights.sum() == 3 * len(known) and values[-1] == known[-1]
     assert spec._cut_points(rows.filter("false")) == ([[], [], []], 0.0)
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_blocks_are_written_and_read_a_few_at_a_time(spark):
+    rows = spark.range(0, 800_000, 1, 1).selectExpr(
+        "0 as PULocationID", "timestamp'2024-01-01' + make_dt_interval(0, cast(id as int)) as hour",
+        "cast(id % 7 as double) as a", "cast(id % 11 as double) as b", "rand(1) as pickup_count",
+    )
+    before = spark.conf.get(BATCH_BYTES)
+    spec = BoostedTrees(("a", "b"), val_size=0)
+    ready = spec.prepare(rows)
+    assert spark.conf.get(BATCH_BYTES) == before
+    files = spec._binned(rows, ready.cuts, ready.base).inputFiles()
+    groups = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata.num_row_groups for f in files]
+    assert max(groups) > 1
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    with small_batches(spark), small_batches(spark):
+        found = [r["n"] for r in ready.state.mapInArrow(sizes, "n long").collect()]
+    assert spark.conf.get(BATCH_BYTES) == before
+    assert sum(found) > 10e6 and max(found) < 4e6
+    ready.release()
+
+
+def test_fits_limit_their_batches(spark, rows, monkeypatch):
+    before, seen, plain_pass = spark.conf.get(BATCH_BYTES), [], BoostedTrees._histograms
+
+    def watched(self, *given):
+        seen.append(int(spark.conf.get(BATCH_BYTES)))
+        return plain_pass(self, *given)
+
+    monkeypatch.setattr(BoostedTrees, "_histograms", watched)
+    BoostedTrees(NAMES, iterations=1, max_depth=1, val_size=5).fit(rows)
+    assert seen and max(seen) <= 2**21 and spark.conf.get(BATCH_BYTES) == before
+
+
+def test_summaries_of_many_tasks_become_one_short_list():
+    rng = np.random.default_rng(0)
+    values = rng.normal(size=64 * boosting._POINTS)
+    parts = [(np.sort(v), np.full(len(v), 3)) for v in np.split(values, 64)]
+    points, weights = boosting._thinned(parts, boosting._MERGED, boosting._MERGE_LIMIT)
+    assert len(points) <= boosting._MERGED and weights.sum() == 3 * len(values)
+    ranks = np.searchsorted(np.sort(values), points, side="right") * 3
+    np.testing.assert_array_equal(np.cumsum(weights), ranks)
+    few = boosting._thinned(parts[:4], boosting._MERGED, boosting._MERGE_LIMIT)
+    assert len(few[0]) == 4 * boosting._POINTS  # as they are
